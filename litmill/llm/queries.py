@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import lookalike, quality
+from litmill.llm import leakage, lookalike, mixing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.odd_items(table(spark, folder, "master")).select("rec_id", "field_name", "item_pos")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a third or more of a held-out item, with the item."""
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans to remove, one row for each."""
+    found = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.select("doc_id", "item_id", F.round("share", 6).alias("share"), F.posexplode("spans").alias("span_no", "span")).select(
+        "doc_id", "item_id", "share", "span_no", F.col("span.start").alias("start_char"), F.col("span.end").alias("end_char")
+    )
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of every mix, shuffled: which document, and which of its copies."""
+    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).rows
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source of every mix."""
+    return mixing.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents most of whose text is not natural prose."""
     return quality.nonprose(table(spark, folder, "documents"))
@@ -27,5 +50,5 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents")).withColumn("reasons", F.array_join("reasons", ","))
 
 
-QUERIES = {"p4_found": p4_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {}
