@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import leakage, lookalike, mixing, quality
+from litmill.llm import language, leakage, lookalike, mixing, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.odd_items(table(spark, folder, "master")).select("rec_id", "field_name", "item_pos")
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    literature = table(spark, folder, "merged_literature")
+    filters = language.fit_filters(literature, "lang", ["title", "abstract"], "rec_id")
+    return language.text_languages(literature, filters, "rec_id", ["title", "abstract"], "lang")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All segments of the records whose label is missing, wrong, or not the only language."""
+    return language.wrong_labels(_segments(spark, folder)).select("rec_id", "field_name", "seg_no", "lang")
+
+
+def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every record, with its confidence."""
+    return _segments(spark, folder).withColumn("confidence", F.round("confidence", 4))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a third or more of a held-out item, with the item."""
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
@@ -50,5 +66,5 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents")).withColumn("reasons", F.array_join("reasons", ","))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {}
