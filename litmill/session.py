@@ -21,7 +21,7 @@ DEFAULTS = {
 def local_session(name: str = "litmill", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the session is given."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": str(partitions), "spark.ui.enabled": "false", **conf}.items():
+    for key, value in {**DEFAULTS, "spark.sql.shuffle.partitions": str(partitions), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
