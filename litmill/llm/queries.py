@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import language, leakage, lookalike, mixing, neardup, quality
+from litmill.llm import language, leakage, lookalike, mixing, neardup, quality, survivor
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.odd_items(table(spark, folder, "master")).select("rec_id", "field_name", "item_pos")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """What survives of each group of records of one publication."""
+    literature = table(spark, folder, "merged_literature")
+    return survivor.survivors(literature, neardup.publication_groups(literature))
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     literature = table(spark, folder, "merged_literature")
     filters = language.fit_filters(literature, "lang", ["title", "abstract"], "rec_id")
@@ -71,5 +77,5 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents")).withColumn("reasons", F.array_join("reasons", ","))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {}
