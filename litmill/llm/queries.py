@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import language, leakage, lookalike, mixing, neardup, quality, survivor
+from litmill.llm import language, leakage, lookalike, mixing, neardup, quality, survivor, variants
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.group_pairs(neardup.publication_groups(table(spark, folder, "merged_literature")))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of spellings of one person among the entries of name_key."""
+    return variants.variant_pairs(variants.name_variants(variants.written_names(table(spark, folder, "master"))))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Names and institutions of master that are not in the ordinary form of their look."""
     return lookalike.odd_items(table(spark, folder, "master")).select("rec_id", "field_name", "item_pos")
@@ -77,5 +82,5 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents")).withColumn("reasons", F.array_join("reasons", ","))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL: dict[str, str] = {}
