@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 # Rules of the document types, in order; a rule is tried on every part before the next rule.
 DOC_TYPE_RULES = (
-    ("retraction", "^.*retract"),
+    ("retraction", "^retract"),
     ("thesis", "^(phdthesis|mastersthesis|thesis)$"),
     ("book", "^(book|booklet|incollection)$"),
     ("proceedings", "^(inproceedings|proceedings|conference)"),
@@ -25,19 +25,22 @@ DOC_TYPE_RULES = (
 
 def parts(value: Column) -> Column:
     """Trimmed parts of a text between semicolons and commas, blank ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[;,]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda t: t != "")
 
 
 def doc_type(value: Column, rules: Sequence[tuple[str, str]] = DOC_TYPE_RULES) -> Column:
-    """The label of the first rule that any part fits; ``unknown`` without parts, ``other`` without a rule. A rule must fit at
-    a part's beginning, but for retractions, which may be named anywhere."""
+    """The label of the first rule that fits at the beginning of any part; ``unknown`` without parts, ``other`` without a rule."""
     tokens = parts(value)
     out = F.when(F.size(tokens) == 0, "unknown")
     for label, pattern in rules:
-        out = out.when(F.exists(tokens, lambda t, p=pattern: F.lower(t).rlike(p)), label)
+        out = out.when(F.exists(tokens, _fits(pattern)), label)
     return out.otherwise("other")
 
 
+def _fits(pattern: str):
+    return lambda token: F.lower(token).rlike(pattern)
+
+
 def code(value: Column, letter: str, most: int) -> Column:
     """A code of one letter and two digits: as it is, or from its number however padded; null if it is no such code."""
     text = F.upper(F.trim(value))

@@ -29,7 +29,7 @@ def split_authors(value: Column) -> Column:
     """Names of a list parted by semicolons, or of a JSON array; trimmed, blank ones left out."""
     text = F.coalesce(value, F.lit(""))
     parts = F.when(F.trim(text).startswith("["), json_list(text)).otherwise(F.split(text, ";"))
-    return F.filter(F.transform(parts, F.trim), lambda a: a != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda a: a != "")
 
 
 def join_authors(names: Column) -> Column:
@@ -56,7 +56,7 @@ def split_name(name: Column) -> Column:
 
 
 def full_name(person: Column) -> Column:
-    return F.trim(F.regexp_replace(F.concat_ws(" ", person["first_name"], person["last_name"]), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.concat_ws(" ", person["first_name"], person["last_name"]), r"[\s\p{Z}]+", " "))
 
 
 def full_names(persons: Column) -> Column:
@@ -83,7 +83,7 @@ def places(persons: Column, field: str) -> Column:
 
 def network_names(persons: Column) -> Column:
     """Last and first name in lower case, each person once, in order."""
-    name = lambda p: F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", p["last_name"], p["first_name"]), r"\s+", " ")))
+    name = lambda p: F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", p["last_name"], p["first_name"]), r"[\s\p{Z}]+", " ")))
     return F.array_distinct(F.filter(F.transform(persons, name), lambda n: n != ""))
 
 

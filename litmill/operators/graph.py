@@ -111,17 +111,23 @@ def partition_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return row.withColumn("jaccard", F.col("pairs_both") / F.greatest(F.col("pairs_a") + F.col("pairs_b") - F.col("pairs_both"), F.lit(1)))
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(node, centrality)`` by power iteration on the weighted graph, scaled to unit length."""
-    both = materialize(edges.select("source", "target", "weight").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")), "arcs")
-    value = both.select(F.col("source").alias("node")).distinct().withColumn("centrality", F.lit(1.0))
+def eigenvector_centrality(edges: DataFrame, rounds: int = 25) -> DataFrame:
+    """``(node, centrality)`` by power iteration on the weighted graph, scaled to unit length.
+
+    Each node has a loop, which makes bipartite graphs converge; weights are divided by their sum, so nothing overflows.
+    """
+    arcs = edges.select("source", "target", "weight").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+    total = arcs.agg(F.max("weight").alias("m"))
+    loops = arcs.select("source").distinct().select("source", F.col("source").alias("target")).join(F.broadcast(total)).select("source", "target", F.col("m").alias("weight"))  # one row
+    walk = materialize(arcs.unionByName(loops), "arcs")
+    value = walk.select(F.col("source").alias("node")).distinct().withColumn("centrality", F.lit(1.0))
     for k in range(rounds):
-        moved = both.join(value.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg(F.sum(F.col("weight") * F.col("centrality")).alias("x"))
-        shifted = value.join(moved, "node").select("node", (F.col("centrality") + F.col("x")).alias("x"))  # the shift makes bipartite graphs converge
-        norm = shifted.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        value = shifted.join(F.broadcast(norm)).select("node", (F.col("x") / F.col("norm")).alias("centrality"))  # one row
-        if k % 5 == 4:
-            value = materialize(value, "centrality")
+        moved = walk.join(value.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg(F.sum(F.col("weight") * F.col("centrality")).alias("centrality"))
+        value = moved
+        if k % 5 == 4 or k == rounds - 1:
+            value = materialize(moved, "centrality")
+            norm = value.agg(F.sqrt(F.sum(F.col("centrality") * F.col("centrality"))).alias("norm"))
+            value = value.join(F.broadcast(norm)).select("node", (F.col("centrality") / F.col("norm")).alias("centrality"))  # one row
     return value
 
 
