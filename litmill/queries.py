@@ -43,7 +43,13 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+@query(
+    r"""with v as (select rec_id, 'doc_type' as field_name, doc_type as v from merged_literature union all select rec_id, 'source', source from merged_literature union all select rec_id, 'uid', uid from merged_literature),
+b as (select *, regexp_replace(case when regexp_matches(v, '(?s)^\s*\[.*\]\s*$') then regexp_extract(v, '(?s)^\s*\[(.*)\]\s*$', 1) else v end, '\s/\s', ';', 'g') as body from v where v is not null),
+t as (select rec_id, field_name, list_transform(regexp_extract_all(body, '\s*"(?:[^"\\]|\\.|"")*"\s*|[^;；,，|｜\t\n\r]+'), x -> regexp_replace(x, '^\s+|\s+$', '', 'g')) as parts from b),
+c as (select rec_id, field_name, list_filter(list_transform(parts, x -> case when x like '"%"' and length(x) > 1 then replace(replace(substr(x, 2, length(x) - 2), '""', '"'), '\"', '"') else x end), x -> x <> '') as items from t)
+select rec_id, field_name, i::int as item_pos, items[i] as item from (select *, unnest(generate_series(1, len(items))) as i from c where len(items) >= 2)"""
+)
 def p3_found(spark, folder):
     """Every value of the fields of merged_literature that pack two or more, in order."""
     return split_packed(_literature(spark, folder), "rec_id", ["doc_type", "source", "uid"], min_items=2)
@@ -131,11 +137,11 @@ def f_labels_of_names(spark, folder):
     return table(spark, folder, "master").where("first_author <> ''").select("rec_id", people.ascii_label("first_author").alias("ascii_name"), people.abbreviated(people.ascii_label(last_first)).alias("label"))
 
 
-@query("select rec_id, doc_type_std, venue_name, year_num, array_to_string(keywords_list, '|') as keywords, array_to_string(mesh_list, '|') as mesh from master")
+@query("select rec_id, venue_name, year_num, array_to_string(keywords_list, '|') as keywords, array_to_string(mesh_list, '|') as mesh from master")
 def f_normalised(spark, folder):
     """The other columns of the normalising stage, against those delivered."""
     done = stages.normalise(table(spark, folder, "master"))
-    return done.select("rec_id", "doc_type_std", "venue_name", "year_num", F.array_join("keywords_list", "|").alias("keywords"), F.array_join("mesh_list", "|").alias("mesh"))
+    return done.select("rec_id", "venue_name", "year_num", F.array_join("keywords_list", "|").alias("keywords"), F.array_join("mesh_list", "|").alias("mesh"))
 
 
 @query("""with t as (select rec_id, list_filter(list_transform(regexp_split_to_array(coalesce(doc_type, ''), '[;,]'), x -> trim(x)), x -> x <> '') as p from merged_literature)
