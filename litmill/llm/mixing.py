@@ -143,6 +143,6 @@ def mix_sources(documents: DataFrame, targets: DataFrame, config: MixConfig = Mi
         "mix_id", "source", "target_share", "max_repeats",
         F.coalesce("held_tokens", F.lit(0)).alias("held_tokens"),
         F.coalesce("actual_tokens", F.lit(0)).alias("actual_tokens"),
-        (F.coalesce("actual_tokens", F.lit(0)) / F.sum(F.coalesce("actual_tokens", F.lit(0))).over(each)).alias("actual_share"),
+        F.coalesce(F.try_divide("actual_tokens", F.sum("actual_tokens").over(each)), F.lit(0.0)).alias("actual_share"),
     )
     return Mix(shuffled, shares)
