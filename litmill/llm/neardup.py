@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.operators.components import connected_components
@@ -33,6 +33,7 @@ class NearDupConfig:
     coordinates: int = 32
     least_matches: int = 2
     long_list: int = 16
+    block_rows: int = 256
     buckets: int = 1 << 17
     chunk_rows: int = 4000
 
@@ -380,9 +381,8 @@ def _colliding(keyed: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame |
 def candidate_pairs(reps: DataFrame, posts_of: Callable[[DataFrame], DataFrame], config: NearDupConfig) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, of records that share ``least_matches`` coordinates.
 
-    A list longer than ``long_list`` is posted again under each pair of coordinates, and under triples where that is still
-    long; a pair over the threshold meets there too. What is long even then is linked along the order of the ids to its
-    next neighbours and the list's first member; links are closed to groups, so like records still come together.
+    A list longer than ``long_list`` is posted again under each pair of coordinates; a pair over the threshold meets there
+    too. What is long even then is compared in full, in blocks.
     """
     single = posts_of(reps).select("rep", F.explode("posts").alias("key"))
     met, long1 = _colliding(single, config.long_list)
@@ -394,17 +394,27 @@ def candidate_pairs(reps: DataFrame, posts_of: Callable[[DataFrame], DataFrame],
     met2, long2 = _colliding(twice.select("rep", F.xxhash64(F.least("key", "o"), F.greatest("key", "o")).alias("key")).distinct(), config.long_list)
     out = counted.unionByName(met2)
     if long2 is not None:
-        thrice = long2.join(posts, "rep").select("rep", "key", F.explode("posts").alias("o"))
-        met3, long3 = _colliding(thrice.select("rep", F.xxhash64("key", "o").alias("key")).distinct(), config.long_list)
-        out = out.unionByName(met3)
-        if long3 is not None:
-            row = Window.partitionBy("key").orderBy("rep")
-            before = long3.withColumn("before", F.array(*(F.lag("rep", k).over(row) for k in (1, 2, 3, 4))))
-            out = out.unionByName(before.select(F.explode("before").alias("a"), F.col("rep").alias("b")).where("a < b"))
-            out = out.unionByName(long3.join(long3.groupBy("key").agg(F.min("rep").alias("a")), "key").select("a", F.col("rep").alias("b")).where("a < b"))
+        out = out.unionByName(_all_pairs(long2, config.block_rows))
     return out.distinct()
 
 
+def _all_pairs(lists: DataFrame, block_rows: int) -> DataFrame:
+    """Every pair ``(a, b)``, a < b, of the lists ``(key, rep)``; a pair may come from several lists.
+
+    Lists of the same members (copies with equal signatures meet under every key) are worked once. A list is cut into hashed
+    blocks, and each two of its blocks are a cell joined by itself, so no task holds a list as a whole.
+    """
+    h = F.xxhash64("rep")
+    sized = lists.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y"))
+    once = sized.groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    parted = lists.join(once, "key").withColumn("blocks", F.ceil(F.col("n") / block_rows)).withColumn("block", F.pmod(h, "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    cells = parted.select("key", "rep", "block", other).select("key", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = materialize(cells, "cells")
+    one, two = cells.withColumnsRenamed({"rep": "a", "block": "p"}), cells.withColumnsRenamed({"rep": "b", "block": "q"})
+    return one.join(two, ["key", "i", "j"]).where("a < b and (i = j or p <> q)").select("a", "b")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs ``(src, dst)`` whose records describe one publication."""
     text = reps.select("rep", "title", "authors")

@@ -62,6 +62,15 @@ def test_long_lists(spark):
     assert {(a, b) for a, b in itertools.combinations(range(60), 2) if a // 6 == b // 6} <= found
 
 
+def test_long_pair_lists(spark):
+    """Where many records share the same two coordinates, those that share no more meet as well, however far apart by id."""
+    table = spark.createDataFrame([(i * 7, [1, 2, 100 + i, 200 + i % 30]) for i in range(60)], "rep bigint, posts array<bigint>")
+    for block_rows in (7, 256):
+        config = neardup.NearDupConfig(long_list=8, least_matches=2, block_rows=block_rows)
+        found = [tuple(r) for r in neardup.candidate_pairs(table.select("rep"), lambda some: table.join(some, "rep", "left_semi"), config).collect()]
+        assert len(found) == len(set(found)) and set(found) == set(itertools.combinations(range(0, 420, 7), 2))
+
+
 WHOLE = "We study the spread of rules. The model has many agents. Results hold for all seeds. Prices rise when trust falls."
 
 
