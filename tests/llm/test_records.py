@@ -127,6 +127,17 @@ def test_name_variants(spark):
     assert variants.name_variants(names.limit(0)).count() == 0
 
 
+def test_frequent_family_name(spark):
+    """A family name that many spellings hold is one still; a frequent given name is none where it stands first."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfghklmnprstv", k=9))
+    names = [f"{word()} zhang" for _ in range(30)] + [f"leonard {word()}" for _ in range(20)] + ["xiaoqing zhang", "x. zhang", "leonard", "qiu leonard", "q. leonard", "leonard xerolan"]
+    df = spark.createDataFrame([(n, None) for n in names], "entry string, orcid string")
+    found = {tuple(r) for r in variants.variant_pairs(variants.name_variants(df, variants.VariantConfig(given_least=5))).collect()}
+    assert found == {("x. zhang", "xiaoqing zhang"), ("q. leonard", "qiu leonard")}
+    assert [variants.parse_name(n).placed for n in ("x. zhang", "zhang x.", "zhang, xiaoqing", "dr. li zhang jr.", "zhang, x.")] == ["zhang", "", "zhang", "zhang", "zhang"]
+
+
 def test_written_names(spark):
     person = "array<struct<first_name:string,last_name:string,orcid:string>>"
     df = spark.createDataFrame([("ann lee;bo li", [("Ann", "Lee", "1"), ("Bo", "Li", "")]), ("ann lee", [("Ánn", "Lee", "1")]), ("", None), (None, [])], f"name_key string, authors_list {person}")
