@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litmill.operators.components import connected_components
+from litmill.operators.ranking import cumulative_first_seen
 from litmill.session import materialize
 
 
@@ -103,6 +104,50 @@ def modularity(edges: DataFrame, partition: DataFrame, weighted: bool = True) ->
     return joined.agg(F.round(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)), 9).alias("modularity"))
 
 
+def growth(rows: DataFrame, period: str, members: str) -> DataFrame:
+    """``(period, new_nodes, nodes, new_edges, edges, mean_degree, mean_weighted_degree, giant_share)`` of the graph of all rows
+    up to each period. Nodes are members in a list, alone or not; means and the share of the largest component, in percent,
+    are over the nodes that have an edge, null as long as there is none.
+
+    Components grow period by period: the edges that are new in one join the components so far, and only those they touch
+    are worked on again.
+    """
+    listed = materialize(rows.select(F.col(period).alias("period"), F.col(members).alias("names")), "listed")
+    nodes = cumulative_first_seen(listed.select("period", F.explode("names").alias("n")), "n", "period").withColumnRenamed("new", "new_nodes").drop("total")
+    n = F.size("names")
+    place = lambda k: position_weight(k + 1, n)
+    pair = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, n), lambda y, j: F.struct(F.least(x, y).alias("s"), F.greatest(x, y).alias("t"), (place(i) * place(i + 1 + j)).alias("w")))))
+    met = listed.where(n > 1).select("period", F.explode(pair).alias("e")).select("period", "e.*")
+    first = materialize(met.groupBy("s", "t").agg(F.min("period").alias("period")), "first")
+    edges = first.groupBy("period").agg(F.count("*").alias("new_edges")).join(met.groupBy("period").agg(F.sum("w").alias("w")), "period", "full")
+    table = nodes.join(edges, "period", "full").select("period", F.coalesce("new_nodes", F.lit(0)).alias("new_nodes"), F.coalesce("new_edges", F.lit(0)).alias("new_edges"), F.coalesce("w", F.lit(0.0)).alias("w"))
+    label = sizes = None
+    giants = []
+    for year, _, found, _ in sorted(table.collect()):  # a row for each period
+        if found:
+            new = first.where(F.col("period") == F.lit(year)).select("s", "t")
+            if label is None:
+                links = new.select(F.col("s").alias("a"), F.col("t").alias("b"))
+            else:
+                named = lambda df, end, out: df.join(label.select(F.col("id").alias(end), F.col("component").alias(out)), end, "left").withColumn(out, F.coalesce(out, end))
+                links = named(named(new, "s", "a"), "t", "b").select("a", "b")
+            joined = materialize(connected_components(links, "a", "b"), "joined")
+            fresh = new.select(F.explode(F.array("s", "t")).alias("id")).distinct()
+            if label is not None:
+                fresh = fresh.join(label.select("id"), "id", "left_anti")
+            every = fresh.withColumn("component", F.col("id"))
+            every = every if label is None else label.unionByName(every)
+            moved = every.join(joined.select(F.col("id").alias("component"), F.col("component").alias("into")), "component", "left")
+            label = materialize(moved.select("id", F.coalesce("into", "component").alias("component")), "label")
+            sizes = tuple(label.groupBy("component").count().agg(F.sum("count"), F.max("count")).first())
+        giants.append((year, *(sizes or (0, 0))))
+    giant = rows.sparkSession.createDataFrame(giants, f"period {listed.schema['period'].dataType.simpleString()}, linked bigint, giant bigint")
+    upto = Window.orderBy("period")  # a row for each period
+    grown = table.join(giant, "period").withColumns({"nodes": F.sum("new_nodes").over(upto), "edges": F.sum("new_edges").over(upto), "w": F.sum("w").over(upto)})
+    mean = lambda c: F.when(F.col("linked") > 0, 2 * F.col(c) / F.col("linked"))
+    return grown.select(F.col("period").alias(period), "new_nodes", "nodes", "new_edges", "edges", F.round(mean("edges"), 6).alias("mean_degree"), F.round(mean("w"), 6).alias("mean_weighted_degree"), F.round(F.when(F.col("linked") > 0, 100 * F.col("giant") / F.col("linked")), 6).alias("giant_share"))
+
+
 def partition_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(pairs_a, pairs_b, pairs_both, jaccard)`` of nodes put together by two partitions, from counts, without pairs."""
     both = a.select("node", F.col("community").alias("ca")).join(b.select("node", F.col("community").alias("cb")), "node")

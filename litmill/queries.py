@@ -588,12 +588,9 @@ def g_centrality(spark, folder):
 
 @query()
 def g_growth(spark, folder):
-    """Authors, edges and the largest component's share, year by year, all papers up to the year taken together."""
+    """Authors, edges, mean degrees and the largest component's share, year by year, all papers up to the year taken together."""
     rows = table(spark, folder, "master").where("year_num is not null").select(F.col("year_num").cast("int").alias("year"), people.network_names(F.col("authors_list")).alias("names"))
-    nodes = ranking.cumulative_first_seen(rows.select("year", F.explode("names").alias("n")), "n", "year").withColumnsRenamed({"new": "new_nodes", "total": "nodes"})
-    pair = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.struct(F.least(x, y).alias("s"), F.greatest(x, y).alias("t")))))
-    edges = ranking.cumulative_first_seen(rows.where("size(names) > 1").select("year", F.explode(pair).alias("e")), "e", "year").withColumnsRenamed({"new": "new_edges", "total": "edges"})
-    return nodes.join(edges, "year", "left").select("year", "new_nodes", "nodes", F.coalesce("new_edges", F.lit(0)).alias("new_edges"), F.coalesce("edges", F.lit(0)).alias("edges"))
+    return graph.growth(rows, "year", "names")
 
 
 # --- lift -------------------------------------------------------------------------------------------------------------

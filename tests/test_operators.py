@@ -195,3 +195,10 @@ def test_lift(spark):
     assert got == {("g", "x"): (1, 1.0), ("g", "y"): (1, 2.0), ("h", "x"): (1, 1.0)}
     assert lift.contrast(df, "g", "v").where("g = 'g'").first()["v"] == "x"
     assert lift.signatures(lift.lifts(df, "g", "v", "d"), "g", "v", 1, 1.5, 1, 1).count() == 2
+
+
+def test_growth(spark):
+    rows = [(2001, ["a", "b"]), (2001, ["c"]), (2002, ["c", "d", "e"]), (2004, ["b", "c"]), (2005, ["f"])]
+    found = graph.growth(spark.createDataFrame(rows, "year int, names array<string>"), "year", "names").orderBy("year").collect()
+    assert [(r["year"], r["nodes"], r["edges"], round(r["giant_share"], 3)) for r in found] == [(2001, 3, 1, 100.0), (2002, 5, 4, 60.0), (2004, 5, 5, 100.0), (2005, 6, 5, 100.0)]
+    assert found[0]["mean_degree"] == 1 and found[0]["mean_weighted_degree"] == 0.75
