@@ -138,6 +138,54 @@ def test_frequent_family_name(spark):
     assert [variants.parse_name(n).placed for n in ("x. zhang", "zhang x.", "zhang, xiaoqing", "dr. li zhang jr.", "zhang, x.")] == ["zhang", "", "zhang", "zhang", "zhang"]
 
 
+def test_assignment_is_optimal():
+    """Words pair at the least cost in all, not greedily; against every assignment of small names."""
+    a, b = variants.Name(("abcdexgx", "azcdefgz"), (), ""), variants.Name(("azcdexgh", "abcdyxgh"), (), "")
+    cost = lambda x, y: variants.align(x, y, frozenset())[0]
+    rng = random.Random(11)
+    forms = ["leonard", "leonrad", "len", "leo", "bruna", "bruno", "volorik", "volorki", "peditelund", "anna", "anne"]
+
+    def brute(x, y):
+        best = 9.0
+        for order in itertools.permutations(range(len(y.words))):
+            for used in range(min(len(x.words), len(y.words)) + 1):
+                for mine in itertools.combinations(range(len(x.words)), used):
+                    prices = [variants._price("w", x.words[i], "w", y.words[order[k]], frozenset()) for k, i in enumerate(mine)]
+                    left_x = [w for i, w in enumerate(x.words) if i not in mine]
+                    left_y = [y.words[j] for j in order[used:]]
+                    if None in prices:
+                        continue
+                    joined = variants._slip("".join(left_x), "".join(left_y)) if left_x and left_y else None
+                    if joined is False or used + bool(joined) < 2:
+                        continue
+                    extra = 0.34 * ("".join(left_x) != "".join(left_y)) if joined else 0.34 * (len(left_x) + len(left_y))
+                    best = min(best, sum(prices) + extra)
+        return best
+
+    for _ in range(300):
+        x, y = (variants.Name(tuple(rng.choices(forms, k=rng.randint(1, 4))), (), "") for _ in range(2))
+        assert abs(cost(x, y) - brute(x, y)) < 1e-9, (x, y)
+    assert cost(a, b) == brute(a, b)
+    many = variants.Name((), (), "ab" * 40)
+    assert variants.align(many, many, frozenset())[0] == 0.0
+
+
+def test_places_and_chains(spark):
+    """Known places of work keep like names apart, and decide between persons; a chain of slips is cut at the most frequent spelling."""
+    at = lambda *bits: [sum(1 << b for b in bits), 0, 0, 0, 0, 0, 0, 0]
+    rows = [
+        ("anna volorik", None, 9, at(1)), ("anna volorikk", None, 1, at(1)), ("anna vollorik", None, 2, at(2)), ("a. volorik", None, 1, at(1)), ("volorik, anna", None, 1, None),
+        ("karl mendelov", "o1", 3, at(3)), ("karl mendelow", None, 2, at(3)), ("karl mendelo", "o2", 1, at(3)), ("k. mendelov", None, 1, at(4)),
+        ("ivo peditelund", None, 1, None), ("ivo peditelumd", None, 1, None),
+    ]
+    names = spark.createDataFrame(rows, "entry string, orcid string, n bigint, places array<bigint>")
+    found = {tuple(r) for r in variants.variant_pairs(variants.name_variants(names)).collect()}
+    anna = {tuple(sorted(p)) for p in itertools.combinations(["anna volorik", "anna volorikk", "a. volorik", "volorik, anna"], 2)}
+    assert anna <= found and not any("vollorik" in x for p in found for x in p)
+    assert ("karl mendelov", "karl mendelow") in found and ("karl mendelo", "karl mendelov") not in found and ("karl mendelo", "karl mendelow") not in found
+    assert not any("k. mendelov" in p or "ivo peditelund" in p for p in found)
+
+
 def test_written_names(spark):
     person = "array<struct<first_name:string,last_name:string,orcid:string>>"
     df = spark.createDataFrame([("ann lee;bo li", [("Ann", "Lee", "1"), ("Bo", "Li", "")]), ("ann lee", [("Ánn", "Lee", "1")]), ("", None), (None, [])], f"name_key string, authors_list {person}")
