@@ -58,8 +58,23 @@ def title_and_abstract(title: Column, abstract: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    """The number a text is, else null."""
-    return trimmed(value).try_cast("double")
+    """The number a text is in digits, else null; words, suffixes of a type and names of no number are none."""
+    text = trimmed(value)
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+
+
+def rebuilt_text(index: Column) -> Column:
+    """The text of an index from words to places: words in the order of their places; of words at one place the later entry's."""
+    flat = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), (-i).alias("i"), e["key"].alias("w")))))
+    ordered = F.array_sort(F.coalesce(flat, F.array().cast("array<struct<p:int,i:int,w:string>>")))
+    kept = F.filter(ordered, lambda x, k: (k == 0) | (x["p"] != F.get(ordered, k - 1)["p"]))
+    return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
+
+
+def prompt(title: Column, abstract: Column) -> Column:
+    """The text that asks for the label of a record; null fields are empty."""
+    # Fixed value: the wording.
+    return F.format_string("Classify the following scientific paper.\n\nTITLE:\n%s\n\nABSTRACT:\n%s\n\nReturn JSON only.", _text(title), _text(abstract))
 
 
 def shortened(value: Column, limit: int, mark: str = " [...]") -> Column:

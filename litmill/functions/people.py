@@ -87,6 +87,7 @@ def network_names(persons: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(persons, name), lambda n: n != ""))
 
 
+# Signs that are written as a plain dash and apostrophe.
 _DASHES = dict.fromkeys([*range(0x2010, 0x2016), 0x2212], "-")
 _QUOTES = dict.fromkeys([0x2018, 0x2019, 0x02BC, 0x0060, 0x00B4], "'")
 
@@ -118,7 +119,81 @@ def ascii_label(names: pd.Series) -> pd.Series:
 
 
 def abbreviated(last_first: Column) -> Column:
-    """``B. Batty`` for "batty benjamin"; names with digits are hidden, single words kept."""
-    words = F.split(F.initcap(F.trim(last_first)), r"\s+")
-    short = F.concat(F.substring(F.element_at(words, -1), 1, 1), F.lit(". "), F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
-    return F.when(last_first.rlike(r"\d"), "(unnamed)").when(F.size(words) < 2, F.element_at(words, 1)).otherwise(short)
+    """The surname with its own initial before it, ``B. Batty`` for "batty michael"; single words are kept."""
+    words = F.split(F.trim(last_first), r"\s+")
+    surname = F.initcap(F.element_at(words, 1))
+    return F.when(F.size(words) < 2, surname).otherwise(F.concat(F.upper(F.substring(surname, 1, 1)), F.lit(". "), surname))
+
+
+def author_label(last_first: Column, initial: bool = True) -> Column:
+    """The surname and the given name's initial, ``Haas E.`` for "haas ellen c."; names with digits are hidden."""
+    words = F.filter(F.split(F.replace(last_first, F.lit("."), F.lit(" ")), r"\s+"), lambda w: w != "")
+    first = F.element_at(words, 1)
+    surname = F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substring(first, 2, 1000)))
+    given = F.concat(F.lit(" "), F.upper(F.substring(F.get(words, F.lit(1)), 1, 1)), F.lit("."))
+    label = F.when(F.size(words) == 0, last_first).when(F.lit(initial) & (F.size(words) > 1), F.concat(surname, given)).otherwise(surname)
+    return F.when(label.rlike(r"\d"), "(unnamed)").otherwise(label)
+
+
+AUTHORSHIPS = "array<struct<author:struct<display_name:string,orcid:string>,raw_author_name:string,author_position:string,is_corresponding:boolean,institutions:array<struct<display_name:string,country_code:string,type:string,ror:string>>>>"
+
+
+def authorships(items: Column) -> Column:
+    """``struct<authors, affiliations>`` of harvested authorships: authors as of ``people``, and all places of work, the first of each name.
+
+    Authors without a name are left out, but places in the list count them; so are places without a name.
+    """
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    listed = F.coalesce(items, F.array().cast(AUTHORSHIPS))
+
+    def place(i: Column) -> Column:
+        return F.struct(blank(i["display_name"]).alias("institution"), blank(i["country_code"]).alias("country"), blank(i["type"]).alias("type"), blank(i["ror"]).alias("ror"))
+
+    def person(a: Column, i: Column) -> Column:
+        shown, raw = F.regexp_replace(blank(a["author"]["display_name"]), r"\s+", " "), blank(a["raw_author_name"])
+        after = F.trim(F.regexp_extract(raw, r"^[^,]*,(.*)$", 1))
+        name = split_name(F.when((F.instr(raw, ",") > 1) & (after != "") & (F.trim(F.substring_index(raw, ",", 1)) != ""), raw).otherwise(F.replace(shown, F.lit(","), F.lit("\u0001"))))
+        plain = lambda c: F.replace(c, F.lit("\u0001"), F.lit(","))
+        at = F.filter(F.transform(F.coalesce(a["institutions"], F.array().cast("array<struct<display_name:string,country_code:string,type:string,ror:string>>")), place), lambda x: x["institution"] != "")
+        return F.struct(
+            plain(name["first"]).alias("first_name"), plain(name["last"]).alias("last_name"), (i + 1).alias("position"), blank(a["author_position"]).alias("role"),
+            F.coalesce(a["is_corresponding"], F.lit(False)).alias("is_corresponding"), blank(a["author"]["orcid"]).alias("orcid"), at.alias("institutions"),
+        )
+
+    every = F.filter(F.transform(listed, person), lambda p: (p["first_name"] != "") | (p["last_name"] != ""))
+    at = F.flatten(F.transform(every, lambda p: p["institutions"]))
+    low = F.transform(at, lambda x: F.lower(x["institution"]))
+    once = F.filter(at, lambda x, k: F.array_position(low, F.lower(x["institution"])) == k + 1)
+    return F.struct(every.alias("authors"), once.alias("affiliations"))
+
+
+# Names of the codes, and the regions, of which the first that lists a code has it.
+COUNTRIES = (
+    "US United States;CN China;GB United Kingdom;DE Germany;CA Canada;AU Australia;IN India;FR France;IT Italy;ES Spain;JP Japan;NL Netherlands;BR Brazil;KR South Korea;"
+    "IR Iran;RU Russia;SE Sweden;CH Switzerland;PL Poland;TR Turkey;SA Saudi Arabia;BE Belgium;AT Austria;IL Israel;DK Denmark;SG Singapore;MY Malaysia;PT Portugal;"
+    "NO Norway;FI Finland;GR Greece;MX Mexico;ZA South Africa;IE Ireland;NZ New Zealand;CZ Czechia;EG Egypt;PK Pakistan;AR Argentina;CL Chile;CO Colombia;TH Thailand;"
+    "VN Vietnam;ID Indonesia;NG Nigeria;HU Hungary;RO Romania;UA Ukraine;RS Serbia;TW Taiwan (China);HK Hong Kong (China);MO Macao (China)"
+)
+REGIONS = (
+    ("Americas", "US CA MX BR AR CL CO PE UY VE CU JM DO GT EC BO PY CR PA TT BB"),
+    ("Europe", "GB DE FR IT ES NL BE CH AT SE NO DK FI IE PT GR PL CZ HU RO BG HR SI SK LT LV EE IS LU MT CY RS UA RU TR IL"),
+    ("Asia", "CN JP KR IN ID MY TH VN PH SG PK BD LK TW HK MO KH MM NP MN KZ UZ AZ GE AM"),
+    ("Oceania", "AU NZ FJ PG"),
+    ("Africa", "ZA EG NG KE GH ET TN DZ MA CM UG TZ SN ZW BW MZ NA RW MW ZM AO CI LY SD SO ML BF NE GN"),
+    ("Middle East", "SA AE QA KW OM BH JO LB IR IQ SY YE PS"),
+)
+
+
+def country_name(code: Column) -> Column:
+    """The name of a country code, the code itself in capitals if it has none here."""
+    key = F.upper(F.trim(code))
+    names = dict(x.split(" ", 1) for x in COUNTRIES.split(";"))
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for item in names.items() for x in item)), key), key)
+
+
+def region(code: Column) -> Column:
+    """The first region that lists a country code, else "Other"; null codes are "Other" too."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, codes in REGIONS:
+        out = out.when(code.isin(*codes.split()), name)
+    return out.otherwise("Other")

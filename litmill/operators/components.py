@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """``(id, component)`` for every node of an edge; the component is its smallest node.
 
     Directions, loops and repeated edges don't matter; edges with a null end are left out, a node that only loops is its
-    own component. Each round is written to the shared folder. Nothing but a checksum reaches the driver.
+    own component. Each round is written to the shared folder. Nothing but a checksum reaches the driver. Components that
+    have not settled after ``most_rounds`` (far more than any size needs) are an error, never a result.
     """
     a, b = F.col(f"`{src}`"), F.col(f"`{dst}`")
     ends = edges.select(a.alias("a"), b.alias("b")).where("a is not null and b is not null")
@@ -38,6 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     members = current.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     roots = current.select(F.col("dst").alias("id"), F.col("dst").alias("component"))
     return members.unionByName(roots).unionByName(looped).groupBy("id").agg(F.min("component").alias("component"))

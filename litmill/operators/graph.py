@@ -14,19 +14,43 @@ from litmill.session import materialize
 
 def position_weight(position: Column, n: Column) -> Column:
     """Weight of an author's place among ``n``: first 1, last 0.75, second 0.6, others 0.35; alone 1."""
+    # The weights.
     return F.when((n <= 1) | (position == 1), 1.0).when(position == n, 0.75).when(position == 2, 0.6).otherwise(0.35)
 
 
+def paired(df: DataFrame, members: str, weighted: bool = True, *keep: str) -> DataFrame:
+    """``(keep, source, target, w)``: a row for each pair of members of each row's list, source < target.
+
+    The list is first exploded by its earlier member, so no cell ever holds more than one list.
+    """
+    n = F.size("_m")
+    place = lambda k: position_weight(k, n) if weighted else F.lit(1.0)
+    one = df.where(F.size(members) >= 2).select(*keep, F.col(members).alias("_m")).select(*keep, "_m", F.posexplode("_m").alias("_i", "_x"))
+    two = one.where(F.col("_i") < n - 1).select(*keep, "_i", "_x", n.alias("_n"), F.posexplode(F.slice("_m", F.col("_i") + 2, n)).alias("_k", "_y"))
+    n = F.col("_n")
+    weight = place(F.col("_i") + 1) * place(F.col("_i") + 2 + F.col("_k"))
+    return two.select(*keep, F.least("_x", "_y").alias("source"), F.greatest("_x", "_y").alias("target"), weight.alias("w"))
+
+
 def pair_edges(df: DataFrame, members: str, weighted: bool = True) -> DataFrame:
     """Edges between the members of each row's list, weights (of both places, multiplied, or 1) summed over the rows.
 
     The lists hold each member once; lists of fewer than two give nothing. ``papers`` counts the rows of an edge.
     """
-    n = F.size(members)
-    place = lambda k: position_weight(k + 1, n) if weighted else F.lit(1.0)
-    pair = lambda x, i, y, j: F.struct(F.least(x, y).alias("source"), F.greatest(x, y).alias("target"), (place(i) * place(j)).alias("w"))
-    every = F.flatten(F.transform(members, lambda x, i: F.transform(F.slice(members, i + 2, n), lambda y, j: pair(x, i, y, i + 1 + j))))
-    return df.where(n >= 2).select(F.explode(every).alias("p")).groupBy("p.source", "p.target").agg(F.sum("p.w").alias("weight"), F.count("*").alias("papers"))
+    return paired(df, members, weighted).groupBy("source", "target").agg(F.sum("w").alias("weight"), F.count("*").alias("papers"))
+
+
+def paper_weight(n: Column) -> Column:
+    """Weight of a paper by its number of countries: up to three 1.25, up to six 1.15, more 1."""
+    return F.when(n <= 3, 1.25).when(n <= 6, 1.15).otherwise(1.0)
+
+
+def documents_of(partition: DataFrame, authors: DataFrame, scope: DataFrame, document: str = "rec_id") -> DataFrame:
+    """``(community, document)``, each once: documents in ``scope`` that any member of the community has written.
+
+    ``partition``: node, community; ``authors``: document, node; ``scope``: document.
+    """
+    return authors.join(scope.select(document), document, "left_semi").join(partition.select("node", "community"), "node").select("community", document).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -114,10 +138,7 @@ def growth(rows: DataFrame, period: str, members: str) -> DataFrame:
     """
     listed = materialize(rows.select(F.col(period).alias("period"), F.col(members).alias("names")), "listed")
     nodes = cumulative_first_seen(listed.select("period", F.explode("names").alias("n")), "n", "period").withColumnRenamed("new", "new_nodes").drop("total")
-    n = F.size("names")
-    place = lambda k: position_weight(k + 1, n)
-    pair = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, n), lambda y, j: F.struct(F.least(x, y).alias("s"), F.greatest(x, y).alias("t"), (place(i) * place(i + 1 + j)).alias("w")))))
-    met = listed.where(n > 1).select("period", F.explode(pair).alias("e")).select("period", "e.*")
+    met = paired(listed, "names", True, "period").withColumnsRenamed({"source": "s", "target": "t"})
     first = materialize(met.groupBy("s", "t").agg(F.min("period").alias("period")), "first")
     edges = first.groupBy("period").agg(F.count("*").alias("new_edges")).join(met.groupBy("period").agg(F.sum("w").alias("w")), "period", "full")
     table = nodes.join(edges, "period", "full").select("period", F.coalesce("new_nodes", F.lit(0)).alias("new_nodes"), F.coalesce("new_edges", F.lit(0)).alias("new_edges"), F.coalesce("w", F.lit(0.0)).alias("w"))

@@ -12,16 +12,26 @@ from litmill.operators import filters, merge
 
 
 def merge_sources(df: DataFrame, order: str = "rec_id") -> DataFrame:
-    """One record for each DOI, then one for each title among records without one; records with neither stay as they are."""
+    """One record for each DOI, then one for each title among records without one; records with neither stay as they are.
+
+    Records of one title without a DOI are first resolved by surnames: a representative keeps its own authors; then the
+    representatives of a title are merged, and theirs are united.
+    """
     columns = ["first_id", "n_merged", *merge.FIRST, *merge.UNITED, "times_cited"]
-    keyed = df.withColumn("_doi", keys.doi_key(F.col("doi")))
     by_doi = merge.doi_merge(df, order).select(F.col("merge_key").alias("doi"), *columns)
-    loose = keyed.where("_doi = ''")
-    by_title = merge.title_merge(loose, order).select(F.lit("").alias("doi"), *columns)
+    loose = df.where(keys.doi_key(F.col("doi")) == "")
+    titled = loose.where(keys.title_words_key(F.col("title")) != "")
+    resolved = merge.absorbed(titled, representatives(titled, order), order)
+    by_title = merge.title_merge(resolved, order).select(F.lit("").alias("doi"), *columns)
     alone = loose.where(keys.title_words_key(F.col("title")) == "").select(F.lit("").alias("doi"), F.col(order).alias("first_id"), F.lit(1).cast("bigint").alias("n_merged"), *merge.FIRST, *merge.UNITED, "times_cited")
     return by_doi.unionByName(by_title).unionByName(alone)
 
 
+def representatives(df: DataFrame, order: str = "rec_id") -> DataFrame:
+    """``(order, rep)`` of each record by title and surnames."""
+    return merge.same_title_representatives(df, people.surnames(people.split_authors(F.col("authors"))), order)
+
+
 @dataclass(frozen=True)
 class CleanConfig:
     """``scope``: text that ``source`` must hold, "" for all. ``anchor``: words that keep a record without abstract, None drops them all."""

@@ -89,7 +89,7 @@ def f_text_forms(spark, folder):
   lower(trim(regexp_replace(coalesce(journal, ''), '\s+', ' ', 'g'))) as venue_key, try_cast(regexp_replace(coalesce(year, ''), '^\s+|\s+$', '', 'g') as double) as year_num from merged_literature""")
 def f_venue_and_year(spark, folder):
     """Venue with its fallback, and the year as a number."""
-    year = F.when(keys.trimmed(F.col("year")).rlike(r"^[+-]?\d+(\.\d+)?$"), keys.number(F.col("year")))
+    year = keys.number(F.col("year"))
     return _literature(spark, folder).select("rec_id", keys.venue_name(F.col("journal"), F.col("venue")).alias("venue_name"), keys.venue_key(F.col("journal")).alias("venue_key"), year.alias("year_num"))
 
 
@@ -181,7 +181,7 @@ def f_entities(spark, folder):
 def f_json_objects(spark, folder):
     """The JSON object inside an answer with text around it."""
     answer = F.concat(F.lit("Answer: ```json "), F.to_json(F.struct("topic", "agent", "llm_used")), F.lit(" ``` done"))
-    return table(spark, folder, "label_log").select("row_index", "logged_at", "received_at", labels.first_json_object(answer).alias("answer"))
+    return table(spark, folder, "label_log").select("row_index", "logged_at", "received_at", labels.first_json_object(answer)["object"].alias("answer"))
 
 
 @query()

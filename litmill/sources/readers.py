@@ -35,6 +35,15 @@ def read_cache(spark: SparkSession, path: str, record: str) -> DataFrame:
     return pairs.select("key", "record.*")
 
 
+LEDGER = "stage string, step string, removed bigint, remaining bigint, pct_removed double, csv string, note string"
+
+
+def read_ledger(spark: SparkSession, path: str, own_stage: str | None = None, schema: str = LEDGER) -> DataFrame:
+    """A ledger written as CSV with a header, without the lines of the stage that is about to write its own anew."""
+    df = spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    return df.where(~F.col("stage").eqNullSafe(F.lit(own_stage))) if own_stage else df
+
+
 def read_xml(spark: SparkSession, path: str, tags: Sequence[str], schema: str | StructType) -> DataFrame:
     """Records of several tags, one read for each, with the tag in ``type``; plain or gzip."""
     out = None

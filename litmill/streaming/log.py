@@ -34,6 +34,23 @@ def stale_share(rows: DataFrame, done: DataFrame, key: str, done_key: str, finge
     return joined.agg(F.count("*").alias("n_matched"), stale.alias("n_stale")).withColumn("stale_share", F.col("n_stale") / F.greatest("n_matched", F.lit(1)))
 
 
+def discard_stale(done: DataFrame, report: DataFrame, most: float = 0.05) -> DataFrame:
+    """The done lines, or none of them where more than this share is stale: rows then no longer stand at their places."""
+    return done.join(F.broadcast(report.select((F.col("stale_share") > most).alias("_stale"))), F.lit(True)).where("not _stale").drop("_stale")  # one row
+
+
+def current_progress(progress: DataFrame, version: str, version_col: str = "query_version") -> DataFrame:
+    """Progress made under this version of a query; what another version fetched does not count."""
+    return progress.where(F.col(version_col) == version)
+
+
+def incomplete(progress: DataFrame, wanted: DataFrame, key: str, fetched: str = "fetched", total: str = "total") -> DataFrame:
+    """``(key, next_row)`` of the wanted keys of which not all is fetched: unknown totals count as not done; the next row is after those fetched."""
+    state = progress.groupBy(key).agg(F.max(fetched).alias("_f"), F.max(total).alias("_t"))
+    joined = wanted.select(key).distinct().join(state, key, "left")
+    return joined.where(F.col("_t").isNull() | (F.coalesce("_f", F.lit(0)) < F.col("_t"))).select(key, (F.coalesce("_f", F.lit(0)) + 1).alias("next_row"))
+
+
 def log_rates(log: DataFrame, window: str = "1 hour", late: str = "2 days") -> DataFrame:
     """Lines, failures and tokens for each window of the log's own time; over a stream, lines later than ``late`` are left out."""
     timed = log.withWatermark("logged_at", late) if log.isStreaming else log

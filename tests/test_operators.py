@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from litmill.functions import keys, labels, people
 from litmill.operators import filters, graph, lift, merge, ranking
 from litmill.operators.components import connected_components
+from litmill.plans import stages
 
 
 def one(spark, column, **values):
@@ -22,7 +23,7 @@ def test_keys(spark):
     assert one(spark, keys.title_words_key(c), v="  The  «Näme»: a-b_c 1 ") == "the näme ab_c 1"
     assert one(spark, keys.title_letters_key(c), v="Ünïx 2!") == "nx2"
     assert one(spark, keys.shortened(c, 3), v="abcd") == "abc [...]" and one(spark, keys.shortened(c, 4), v="abcd") == "abcd"
-    assert one(spark, keys.number(c), v="2020") == 2020.0 and one(spark, keys.number(c), v="2020 Mar") is None
+    assert one(spark, keys.number(c), v="2020") == 2020.0 and all(one(spark, keys.number(c), v=x) is None for x in ("2020 Mar", "2020d", "1e3f", "NaN", "Infinity", "", None)) and one(spark, keys.number(c), v=" 1e3 ") == 1000.0
     assert one(spark, keys.venue_name(c, F.lit("V")), v=" ") == "V" and one(spark, keys.last_segment(c), v="https://a/W1") == "W1"
     assert one(spark, keys.collapsed(c), v="a\u0000 b\n\nc ") == "a b c"
 
@@ -38,7 +39,7 @@ def test_people(spark):
     assert one(spark, people.places(people.people(c), "country"), v=text) == ["ES", "FR"] and one(spark, people.corresponding_author(people.people(c)), v=text) == "Ana Cruz"
     assert one(spark, people.any_orcid(people.people(c)), v=text) and one(spark, people.network_names(people.people(c)), v=text) == ["cruz ana"]
     assert list(one(spark, people.name_keys(c), v=["Bé  A", "bé a", "Zoë"])) == ["be a", "zoe"]
-    assert one(spark, people.ascii_label(c), v="Łukasz Žižek–Øst Иван") == "Lukasz Zizek-Ost Ivan" and one(spark, people.abbreviated(c), v="batty michael") == "M. Batty"
+    assert one(spark, people.ascii_label(c), v="Łukasz Žižek–Øst Иван") == "Lukasz Zizek-Ost Ivan" and one(spark, people.abbreviated(c), v="batty michael") == "B. Batty" and one(spark, people.author_label(c), v="haas ellen c.") == "Haas E." and one(spark, people.author_label(c), v="lab 3") == "Lab 3." or one(spark, people.author_label(c), v="lab3 x") == "(unnamed)"
     assert one(spark, people.json_list(c), v='["a", "b"]') == ["a", "b"] and one(spark, people.json_list(c), v='["a"') == [] and one(spark, people.json_list(c), v="x") == []
 
 
@@ -52,7 +53,8 @@ def test_labels(spark):
     assert one(spark, labels.canonical_label(c, ["Health"], [("epidem", "Health")], "Other"), v=None) == "Other"
     assert one(spark, labels.entity_parts(c), v="Farmers and  firms; agents/Firms & .x") == ["farmers", "firms"]
     assert one(spark, labels.retryable(c, F.lit("Read timed out")), v="Error") and not one(spark, labels.retryable(c, F.lit("bad")), v=None)
-    assert one(spark, labels.first_json_object(c), v='x {bad} {"a": {"b": "}"}} y') == '{"a": {"b": "}"}}' and one(spark, labels.first_json_object(c), v='{"a": ') is None
+    assert tuple(one(spark, labels.first_json_object(c), v='x {"a": {"b": "}"}} y')) == ('{"a": {"b": "}"}}', None) and tuple(one(spark, labels.first_json_object(c), v='x {bad} {"a": 1}')) == (None, "malformed JSON")
+    assert tuple(one(spark, labels.first_json_object(c), v='{"topic": 1, "extra": {"agent": "A02"}, "llm_used":')) == (None, "unbalanced JSON (truncated)") and one(spark, labels.first_json_object(c), v=None)[1] == "empty model output"
 
 
 def test_filters(spark):
@@ -202,3 +204,57 @@ def test_growth(spark):
     found = graph.growth(spark.createDataFrame(rows, "year int, names array<string>"), "year", "names").orderBy("year").collect()
     assert [(r["year"], r["nodes"], r["edges"], round(r["giant_share"], 3)) for r in found] == [(2001, 3, 1, 100.0), (2002, 5, 4, 60.0), (2004, 5, 5, 100.0), (2005, 6, 5, 100.0)]
     assert found[0]["mean_degree"] == 1 and found[0]["mean_weighted_degree"] == 0.75
+
+
+def test_classification(spark):
+    c = F.col("v")
+    good = '{"topic": "T6", "agent": 2, "agent_type": "A02", "llm_used": false, "llm_role": "L05"}'
+    read = lambda v: one(spark, labels.classification(c), v=v)
+    assert tuple(read(good)) == ("T06", "A02", "A02", 0, "L01", None)
+    for text, error in [(good.replace("A02", "A03"), "agent_type must match agent"), (good.replace("false", "2"), "invalid llm_used"), (good.replace("T6", "T33"), "unrecognised T code"), ('{"topic": 1}', "missing field(s): agent, agent_type, llm_used, llm_role"), (None, "no JSON object"), (good.replace("L05", "M1"), "unrecognised L code")]:
+        assert read(text)["error"] == error and read(text)["topic"] is None
+    assert read(good.replace("false", '"yes"'))["llm_used"] == 1 and read(good.replace("false", '"no"'))["llm_used"] == 0
+
+
+def test_rebuilt_text_and_kinds(spark):
+    c = F.col("v")
+    df = spark.sql("select map('based', array(1), 'agent', array(0, 3), 'model', array(2, 3)) as m, cast(null as map<string,array<int>>) as x")
+    assert df.select(keys.rebuilt_text(F.col("m")), keys.rebuilt_text(F.col("x"))).first() == ("agent based model model", "")
+    assert one(spark, labels.agent_kinds(c), v="cars and care homes; drones, not_applicable / x") == ["Vehicles", "Vehicles", "Vehicles"] and one(spark, labels.agent_kinds(c), v=None) == []
+    assert one(spark, people.region(c), v="TR") == "Europe" and one(spark, people.region(c), v=None) == "Other" and one(spark, people.country_name(c), v=" xx") == "XX"
+
+
+def test_authorships(spark):
+    c = F.col("v")
+    place = lambda n: (n, "DE", None, "r1")
+    rows = [([(("Ann Lee", "0"), "Lee, Ann", "first", True, [place("Uni"), place(" ")]), (("", None), None, None, None, None), (("Bo", None), None, "last", None, [place("UNI"), place("Lab")])],), (None,)]
+    made = spark.createDataFrame(rows, f"v {people.AUTHORSHIPS}").select(people.authorships(c).alias("x")).collect()
+    assert [(a["first_name"], a["last_name"], a["position"]) for a in made[0]["x"]["authors"]] == [("Ann", "Lee", 1), ("", "Bo", 3)]
+    assert [a["institution"] for a in made[0]["x"]["affiliations"]] == ["Uni", "Lab"] and made[1]["x"]["authors"] == []
+
+
+def test_merged_stage(spark):
+    """Surnames first, titles then: the representatives' authors are united, not those they stand for."""
+    rows = [(1, "T", "Li, A."), (2, "t", "Li, B.; Wu, C."), (3, "T!", "Wu, D."), (4, "T", "Kim, E."), (5, "T", None), (6, "", "Li, A."), (7, None, None)]
+    df = spark.createDataFrame([(*r, None, None, None, None, None, str(r[0]), None, None, None, None, None, 1) for r in rows], "rec_id bigint, title string, authors string, doi string, abstract string, year string, journal string, venue string, source string, uid string, pmid string, keywords string, mesh_terms string, doc_type string, times_cited int")
+    out = {r["first_id"]: r for r in stages.merge_sources(df).collect()}
+    assert set(out) == {1, 6, 7} and out[1]["n_merged"] == 5 and out[1]["authors"] == "Li, A.;Wu, D.;Kim, E." and out[1]["source"] == "1;2;5;3;4"
+
+
+def test_small_plans(spark, tmp_path):
+    from litmill.sources import read_ledger
+    from litmill.streaming import log
+
+    (tmp_path / "l.csv").write_text("stage,step,removed,remaining,pct_removed,csv,note\nclean,a,1,2,33.33,,\nmerge,b,0,2,0.0,,x\n")
+    assert [r["stage"] for r in read_ledger(spark, str(tmp_path / "l.csv"), "clean").collect()] == ["merge"]
+    done = spark.createDataFrame([(1, "v1", 5, 5), (2, "v1", 3, 9), (3, "v2", None, None)], "y int, query_version string, fetched int, total int")
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (4,)], "y int")
+    assert sorted(map(tuple, log.incomplete(log.current_progress(done, "v1"), wanted, "y").collect())) == [(2, 4), (3, 1), (4, 1)]
+    report = spark.createDataFrame([(0.06,)], "stale_share double")
+    assert log.discard_stale(done, report).count() == 0 and log.discard_stale(done, report, 0.1).count() == 3
+    ranked = spark.createDataFrame([(i, float(i % 7), float(i)) for i in range(50)], "i int, a double, b double")
+    from litmill.operators import ranking
+
+    got = {r["i"]: r["avg_rank"] for r in ranking.average_rank(ranked, "a").collect()}
+    values = sorted((i % 7 for i in range(50)), reverse=True)
+    assert all(got[i] == values.index(i % 7) + (values.count(i % 7) + 1) / 2 for i in range(50)) and ranking.rank_shift(ranked, "a", "a", 0).first()["shifted"] == 0
