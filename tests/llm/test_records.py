@@ -19,9 +19,9 @@ def test_same_publication():
     assert same("Exploring haording policies for platforms local with multiagent simulations", "Malincez IM; Helensdekog A; et al.")
     assert same("<i>" + TITLE + "…</i>", "Lorarellan Richard; Malincez Imran M.")
     assert not same(TITLE, "Calodez, S.; Olevpak, D.") and not same("Exploring trust policies for rural markets with multi-agent simulation", AUTHORS)
-    assert not same(TITLE, "Malincez, K.") and same(TITLE, "Malincez, I.")
+    assert not same(TITLE, "Malincez, K.; et al.") and same(TITLE, "Malincez, I.; et al.") and not same(TITLE, "Malincez, I.")
     assert not neardup.same_publication(TITLE + ". Part I", AUTHORS, TITLE + ". Part II", AUTHORS) and not neardup.same_publication(TITLE + ". 2018 report", AUTHORS, TITLE + ". 2021 report", AUTHORS)
-    assert neardup.same_publication(TITLE, None, TITLE.lower(), "") and not neardup.same_publication("Editorial", None, "Editorial", "") and not neardup.same_publication(None, None, None, None)
+    assert not neardup.same_publication(TITLE, None, TITLE.lower(), "") and not neardup.same_publication("Editorial", None, "Editorial", "") and not neardup.same_publication(None, None, None, None)
 
 
 def test_signatures_meet():
@@ -30,6 +30,14 @@ def test_signatures_meet():
     assert (a == b).sum() >= 2 and (a == c).sum() == 0 and np.array_equal(a, neardup.signatures([TITLE], [AUTHORS], counts, 3, 32)[0])
 
 
+def test_score():
+    """One similarity with one threshold: people by initials only don't count, slips in every word do no harm."""
+    slips = "Exploringg hoardinng policiess for loocal platfforms with mullti-agennt simulaation"
+    assert neardup.publication_score(TITLE, AUTHORS, slips, AUTHORS) == 1.0 and neardup.publication_score(TITLE, AUTHORS, None, AUTHORS) == 0.0
+    assert neardup.author_share("Lee, A.; B., P.", "Lee, Ann; Bauer, Paul") == 1.0 and neardup.author_share("Lee, A.; B., P.", "Lee, Ann; Kim, Zoe") == 0.5
+    assert neardup.author_share("A., B.", "A. B.") == 1.0 and neardup.author_share("", "x") == 0.0 and neardup.author_share("Lee A; et al.", "Lee A; Kim B; Wu C") == 1.0
+
+
 def test_groups(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
@@ -71,6 +79,19 @@ def test_long_pair_lists(spark):
         assert len(found) == len(set(found)) and set(found) == set(itertools.combinations(range(0, 420, 7), 2))
 
 
+@pytest.mark.parametrize(("least", "size"), [(2, 60), (3, 60), (2, 400), (4, 200)])
+def test_all_pairs_at_the_threshold(spark, least, size):
+    """Whatever the lengths of the lists, every pair that shares as many coordinates as asked for is retained."""
+    rng = random.Random(least * size)
+    hot = range(6)
+    posts = [(i * 3, sorted({*rng.sample(hot, rng.randint(0, 4)), *(10 + rng.randrange(size // 5) for _ in range(3)), *(1000 + rng.randrange(size) for _ in range(3))})) for i in range(size)]
+    table = spark.createDataFrame(posts, "rep bigint, posts array<bigint>")
+    config = neardup.NearDupConfig(long_list=6, least_matches=least, block_rows=16)
+    found = [tuple(r) for r in neardup.candidate_pairs(table.select("rep"), lambda some: table.join(some, "rep", "left_semi"), config).collect()]
+    wanted = {(a, b) for (a, x), (b, y) in itertools.combinations(posts, 2) if len(set(x) & set(y)) >= least}
+    assert len(found) == len(set(found)) and wanted <= set(found)
+
+
 WHOLE = "We study the spread of rules. The model has many agents. Results hold for all seeds. Prices rise when trust falls."
 
 
