@@ -1,6 +1,6 @@
 """Group records that describe one publication, their titles and authors differing by small edits.
 
-Each record gets a signature of coordinates, each made of a weighted minimum hash over the title and one over the authors.
+Each record gets a signature of coordinates, each made of two weighted minimum hashes over the title and one over the authors.
 Documents are posted under every coordinate and value. The short lists are merged and collisions counted; the long ones are
 skipped in the merge and probed by pairs of coordinates, so every pair at the match threshold or above is retained. These are
 checked field by field, and the links that hold are closed to groups. Exact copies take part once.
@@ -31,8 +31,8 @@ class NearDupConfig:
     which a posting list is skipped in the merge. ``block_rows``: members of a list that are compared with as many others at once.
     ``buckets``: counters of the feature frequencies (a fixed table, whatever the data). ``chunk_rows``: rows worked at once."""
 
-    coordinates: int = 28
-    least_matches: int = 3
+    coordinates: int = 36
+    least_matches: int = 2
     long_list: int = 32
     block_rows: int = 256
     buckets: int = 1 << 17
@@ -126,15 +126,16 @@ def _least(codes: np.ndarray, sizes: np.ndarray, weights: np.ndarray, coordinate
 
 
 def signatures(titles: list[str | None], authors: list[str | None], frequency: np.ndarray, rows: int, coordinates: int) -> np.ndarray:
-    """Posts of each record: for each coordinate a code of its number, a draw of the title and one of the authors. Rare words weigh more."""
+    """Posts of each record: for each coordinate a code of its number, two draws of the title and one of the authors. Rare words weigh more."""
     parts = [features(t, a) for t, a in zip(titles, authors)]
     posts = np.zeros((len(parts), coordinates), np.uint64)
-    for side, salt in ((0, 0), (1, 1)):
+    for side, salts in ((0, (0, 101)), (1, (1,))):
         codes, sizes = _ragged([p[side] for p in parts])
         seen = np.maximum(frequency[(codes % np.uint64(len(frequency))).astype(np.int64)], max(1.0, RAREST * rows))
         weights = np.maximum(np.log((rows + 1) / seen), 0.1) ** 2
-        posts = (posts ^ _least(codes, sizes, weights, coordinates, salt)) * _MIX
-        posts ^= posts >> np.uint64(31)
+        for salt in salts:
+            posts = (posts ^ _least(codes, sizes, weights, coordinates, salt)) * _MIX
+            posts ^= posts >> np.uint64(31)
     return ((posts + np.arange(coordinates, dtype=np.uint64)) * _MIX).view(np.int64)
 
 
