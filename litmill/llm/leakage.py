@@ -25,16 +25,15 @@ _TOKEN = re.compile(r"\S+(?:-\n\S+)*")
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """``phrase_words``: length of the phrases searched. ``least_share``: share of an item's own phrases that a document must
-    hold. Passages of a third of an item keep more than that after small alterations, texts of the same pattern far less.
-    ``common_share``: words in more than this share of the items don't make a phrase an item's own.
+    """``phrase_words``: length of the phrases searched. ``least_share``: weighted share of an item's phrases that a document must
+    hold: a third of the words less the phrases that run over the passage's ends. A phrase weighs the reciprocal root of the number
+    of items that hold it, so texts of the same sentence pattern stay far below, and a passage that two items share counts for both.
     ``shard_words``: words a shard holds at most, except for one longer text. ``block_words``: words of held-out items
     searched, and sent to the executors, at once. ``sample_every``: distance of the sampled suffix positions. ``join_gap``: words
     between two matched spans that are removed with them."""
 
     phrase_words: int = 4
-    least_share: float = 0.27
-    common_share: float = 0.125
+    least_share: float = 0.3
     shard_words: int = 1_000_000
     block_words: int = 2_000_000
     sample_every: int = 8
@@ -152,59 +151,81 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Phrases:
-    """The phrases searched: symbols of each, and where each stands in its item."""
+    """The phrases searched: symbols of each, its weight, and where each stands in its items."""
 
     vocabulary: dict[str, int]
     patterns: np.ndarray
     items: list[list[tuple[int, int]]]  # of each pattern: index of the item, word position
     ids: list
-    own: np.ndarray  # of each item: how many positions have a phrase searched
-    length: np.ndarray
+    weight: np.ndarray  # of each pattern
+    total: np.ndarray  # of each item: the weight of all its places
 
 
-def phrases_of(items: list[tuple], config: LeakConfig) -> Phrases:
-    """The phrases that are one item's own: they stand in no other item and hold a word that few items share.
+def phrase_spread(items: DataFrame, config: LeakConfig) -> dict[tuple, int]:
+    """In how many items a phrase stands, for those in more than one; over all items, whatever block they are searched in.
 
-    Sentences that many items have in common would find texts of the same pattern. An item with hardly a phrase of its
-    own (a repeated one) is searched by all its phrases. Items shorter than a phrase are searched as a whole.
+    Counted on the cluster; what comes back are the phrases that items share, fewer than the words of the items.
     """
-    k = config.phrase_words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(" ".join(g), i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for g in set(_grams(words_of(t), config.phrase_words))]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.string())], names=["g"])
+
+    counted = items.select("_item", "_t").mapInArrow(run, "g string").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    return {tuple(g.split(" ")): n for g, n in counted.toLocalIterator()}
+
+
+def _grams(words: list[str], k: int) -> list[tuple]:
+    """The phrases of an item; one shorter than a phrase is a phrase as a whole."""
+    return [tuple(words[p : p + k]) for p in range(max(1, len(words) - k + 1) if words else 0)]
+
+
+def phrases_of(items: list[tuple], config: LeakConfig, spread: dict[tuple, int] | None = None) -> Phrases:
+    """All phrases of the items. ``spread``: in how many items a phrase stands; counted over these items if not given."""
     words = [words_of(t) for _, t in items]
-    spread: dict[str, int] = defaultdict(int)
-    for w in words:
-        for x in set(w):
-            spread[x] += 1
-    limit = max(2, config.common_share * len(items))
     places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for i, w in enumerate(words):
-        for p in range(max(1, len(w) - k + 1) if w else 0):
-            places[tuple(w[p : p + k])].append((i, p))
-    own = {g: v for g, v in places.items() if len({i for i, _ in v}) == 1 and any(spread[x] <= limit for x in g)}
-    held = defaultdict(int)
-    for v in own.values():
-        held[v[0][0]] += len(v)
-    poor = {i for i, w in enumerate(words) if held[i] < max(1, len(w) // 10)}
-    chosen = {g: (v if g in own else [x for x in v if x[0] in poor]) for g, v in places.items()}
-    chosen = {g: v for g, v in chosen.items() if v}
-    vocabulary = {x: n for n, x in enumerate(dict.fromkeys(x for g in chosen for x in g), 2)}
-    total = np.zeros(len(items), np.int64)
-    for v in chosen.values():
+        for p, g in enumerate(_grams(w, config.phrase_words)):
+            places[g].append((i, p))
+    if spread is None:
+        spread = {g: len({i for i, _ in v}) for g, v in places.items()}
+    weight = np.array([spread.get(g, 1) ** -0.5 for g in places], np.float64)
+    total = np.zeros(len(items))
+    for w, v in zip(weight, places.values()):
         for i, _ in v:
-            total[i] += 1
-    width = max(map(len, chosen), default=1)
-    patterns = np.array([[vocabulary[x] for x in g] + [-1] * (width - len(g)) for g in chosen], np.int64).reshape(len(chosen), width)
-    return Phrases(vocabulary, patterns, list(chosen.values()), [i for i, _ in items], total, np.array([len(w) for w in words], np.int64))
-
-
-def _in_order(positions: list[tuple[int, int]]) -> int:
-    """Size of the largest set of matches whose item positions rise with their text positions."""
-    from bisect import bisect_left
-
-    tails: list[int] = []
-    for _, q in sorted(positions, key=lambda x: (x[0], -x[1])):
-        at = bisect_left(tails, q)
-        tails[at : at + 1] = [q]
-    return len(tails)
+            total[i] += w
+    vocabulary = {x: n for n, x in enumerate(dict.fromkeys(x for g in places for x in g), 2)}
+    width = max(map(len, places), default=1)
+    patterns = np.array([[vocabulary[x] for x in g] + [-1] * (width - len(g)) for g in places], np.int64).reshape(len(places), width)
+    return Phrases(vocabulary, patterns, list(places.values()), [i for i, _ in items], weight, total)
+
+
+def _in_order(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The heaviest set of matches ``(text position, item position, size, weight)`` whose item positions rise with their text positions, each place of the item once."""
+    rows = sorted(found, key=lambda x: (x[0], -x[1]))
+    rank = {q: n for n, q in enumerate(sorted({q for _, q, _, _ in rows}), 1)}
+    best: list[tuple[float, int]] = [(0.0, -1)] * (len(rank) + 1)  # largest weight up to a rank, in a tree of prefixes
+    back = []
+    for k, (_, q, _, w) in enumerate(rows):
+        at, top = rank[q] - 1, (0.0, -1)
+        while at:
+            top = max(top, best[at])
+            at -= at & -at
+        back.append(top[1])
+        mine, at = (top[0] + w, k), rank[q]
+        while at < len(best):
+            best[at] = max(best[at], mine)
+            at += at & -at
+    k, at = (0.0, -1), len(rank)
+    while at:
+        k = max(k, best[at])
+        at -= at & -at
+    out, k = [], k[1]
+    while k >= 0:
+        out.append(rows[k])
+        k = back[k]
+    return out[::-1]
 
 
 def search_shard(texts: list[str | None], phrases: Phrases, config: LeakConfig, tokens: list[list[str]] | None = None) -> list[tuple[int, int, float, list[tuple[int, int]]]]:
@@ -214,7 +235,7 @@ def search_shard(texts: list[str | None], phrases: Phrases, config: LeakConfig,
     parts = [np.array([code(w, 1) for w in t] + [1], np.int64) for t in tokens]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     index = FMIndex(np.concatenate(parts), len(phrases.vocabulary) + 2, config.sample_every)
-    matches: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+    matches: dict[tuple[int, int], list[tuple[int, int, int, float]]] = defaultdict(list)
     lengths = (phrases.patterns >= 0).sum(axis=1)
     for size in np.unique(lengths):
         which = np.flatnonzero(lengths == size)
@@ -225,14 +246,18 @@ def search_shard(texts: list[str | None], phrases: Phrases, config: LeakConfig,
         text = np.searchsorted(starts, at, side="right") - 1
         for pattern, t, p in zip(np.repeat(which, counts).tolist(), text.tolist(), (at - starts[text]).tolist()):
             for item, q in phrases.items[pattern]:
-                matches[t, item].append((p, q, int(size)))
+                matches[t, item].append((p, q, int(size), float(phrases.weight[pattern])))
     out = []
     for (t, item), found in sorted(matches.items()):
-        need = config.least_share * phrases.own[item]
-        if len({q for _, q, _ in found}) < need or _in_order([(p, q) for p, q, _ in found]) < need * 0.75:
+        total = float(phrases.total[item])
+        if sum({q: w for _, q, _, w in found}.values()) < config.least_share * total:
+            continue
+        chain = _in_order(found)
+        share = sum(w for *_, w in chain) / total
+        if share < config.least_share:
             continue
         spans: list[list[int]] = []
-        for p, _, size in sorted(found):
+        for p, _, size, _ in sorted({*chain, *(m for m in found if m[3] >= 0.5)}):  # a passage may stand there twice
             if spans and p <= spans[-1][1] + config.join_gap:
                 spans[-1][1] = max(spans[-1][1], p + size)
             else:
@@ -240,14 +265,14 @@ def search_shard(texts: list[str | None], phrases: Phrases, config: LeakConfig,
         offsets = word_offsets(texts[t])
         last = len(offsets) - 1
         cut = [(offsets[min(a, last)][0], offsets[min(b - 1, last)][1]) for a, b in spans]
-        out.append((t, item, len({q for _, q, _ in found}) / int(phrases.own[item]), cut))
+        out.append((t, item, share, cut))
     return out
 
 
 def leaks(corpus: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig(), id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, share, spans array<struct<start, end>>)`` of the documents that hold a passage of an item.
 
-    ``share`` is the part of the item's own phrases found; ``spans`` are character offsets to remove, merged, in order.
+    ``share`` is the weighted part of the item's phrases found in order; ``spans`` are character offsets to remove, merged, in order.
     Null and empty texts and items hold nothing. A repeated document is reported for each copy, a repeated item under
     each of its ids. Whole texts are searched; other columns are ignored.
     """
@@ -296,14 +321,15 @@ def leaks(corpus: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig()
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow, item_arrow = to_arrow_type(source.schema["_id"].dataType), to_arrow_type(held.schema["_item"].dataType)
+    spread = phrase_spread(held, config)
     result, block, size = None, [], 0
     for row in held.orderBy("_item").toLocalIterator():  # a stated query set, block by block
         block.append((row["_item"], row["_t"]))
         size += len(row["_t"].split())
         if size >= config.block_words:
-            part = scan(phrases_of(block, config))
+            part = scan(phrases_of(block, config, spread))
             result, block, size = (part if result is None else result.unionByName(part)), [], 0
     if block or result is None:
-        part = scan(phrases_of(block, config)) if block else spark.createDataFrame([], schema)
+        part = scan(phrases_of(block, config, spread)) if block else spark.createDataFrame([], schema)
         result = part if result is None else result.unionByName(part)
     return result.withColumnsRenamed({"_id": id_col, "_item": item_id})

@@ -1,5 +1,6 @@
 """Quality, look-alikes, language, leaks and mixing."""
 
+import itertools
 import random
 
 import numpy as np
@@ -134,6 +135,27 @@ def test_leaks(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in blocks.collect()) == sorted((r["doc_id"], r["item_id"]) for r in found)
 
 
+@pytest.mark.parametrize("block_words", [10, 150, 2_000_000])
+def test_shared_passages(spark, block_words):
+    """A document that holds what two items share is reported for both, however the items are parted; texts of the same pattern are not."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    half, pattern = text(33), "between {} and {} per cent of {} switch before {} sets in and the {} of {} does not change when {} are {}"
+    items = [(1, half + " " + text(37)), (2, half + " " + text(37)), (3, text(60))] + [(10 + k, pattern.format(*(word() for _ in range(8)))) for k in range(20)]
+    docs = [(1, text(20) + " " + half + " " + text(20)), (2, pattern.format(*(word() for _ in range(8)))), (3, " ".join(items[2][1].split()[10:34]) + " " + text(9)), (4, " ".join(reversed(items[2][1].split())))]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), leakage.LeakConfig(block_words=block_words))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (1, 2), (3, 3)]
+
+
+def test_order_is_heaviest():
+    rng = random.Random(9)
+    for _ in range(60):
+        rows = [(rng.randrange(8), rng.randrange(8), 3, rng.choice([0.5, 1.0])) for _ in range(rng.randint(1, 9))]
+        best = max((sum(r[3] for r in part) for n in range(10) for part in itertools.combinations(rows, n) if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(sorted(part), sorted(part)[1:]))), default=0)
+        assert abs(sum(r[3] for r in leakage._in_order(rows)) - best) < 1e-9
+
+
 def test_poisson_table():
     config = mixing.MixConfig(bins=200)
     table = mixing.poisson_table(config, 3)
