@@ -13,7 +13,7 @@ PROSE = "The model shows that the adoption of new rules among farmers is slow. I
 
 
 def kind(text):
-    return quality.judge_all([text])[0][-1]
+    return quality.measure([text])[2][0]
 
 
 def test_text_kinds():
@@ -32,7 +32,17 @@ def test_statistics(spark):
     rows = quality.text_statistics(df).collect()
     assert sorted((r["doc_id"] or 0, r["text_kind"]) for r in rows)[:4] == [(0, "empty"), (1, "prose"), (1, "prose"), (2, "empty")]
     assert quality.nonprose(df.limit(0)).count() == 0 and [r for r in rows if r["doc_id"] == 3][0]["n_words"] == 60000
-    assert quality.judge_all([]) == [] and quality.character_counts(["a1_€", ""]).tolist() == [[4, 1, 2, 1], [0, 0, 0, 0]]
+    assert quality.measure([])[2] == [] and quality.character_counts(["a1_€", ""]).tolist() == [[4, 1, 2, 1], [0, 0, 0, 0]]
+
+
+def test_published_rules():
+    """Each published threshold leaves its reason; those that prose breaks too decide nothing."""
+    reasons = lambda text: set(quality.measure([text])[1][0])
+    assert "few_words" in reasons("The end.") and quality.measure(["The end."])[2] == ["prose"] and "stop_words" in reasons("El modelo crece.")
+    assert "bullet_lines" in reasons("- a thing\n- more\n- last") and "ellipsis_lines" in reasons("so it goes…\nand on...") and "symbols_per_word" in reasons("# # a b")
+    assert "long_mean_word" in reasons("abcdefghijklmno pqrstuvwxyzabcd") and "short_mean_word" in reasons("a b c d") and "alphabetic_words" in reasons("1 2 3 x") and "placeholder" in reasons("x { y") and "repeated_lines" in reasons("a\na\na") and "unmarked_lines" in reasons("no mark")
+    whole, alone = quality.measure([PROSE, None, "- a\n- b", PROSE]), [quality.measure([t]) for t in (PROSE, None, "- a\n- b", PROSE)]
+    assert whole[2] == [x[2][0] for x in alone] and all(whole[0][n].tolist() == [x[0][n][0] for x in alone] for n in whole[0])
 
 
 FORMS = {
