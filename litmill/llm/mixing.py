@@ -17,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +53,10 @@ def token_counts(df: DataFrame, text_col: str = "text", keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(_encoder(tokenizer).encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
+            sizes = [len(_encoder(SparkFiles.get(Path(tokenizer).name)).encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["row", "n_tokens"])
 
+    df.sparkSession.sparkContext.addFile(tokenizer)  # the executors need not have it
     counted = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, n_tokens bigint")
     return counted.select(*(F.col(f"row.`{c}`").alias(c) for c in keep), "n_tokens")
 

@@ -166,6 +166,10 @@ def instalment(title: str | None) -> tuple[str, str]:
     return (_ROMAN.get(part[1].lower(), part[1].lower()) if part else ""), ("-".join(years.groups()) if years else "")
 
 
+#: Score from which two records are one publication, and that for titles of fewer than three words.
+SAME_SCORE, SHORT_TITLE_SCORE = 0.4, 0.8
+
+
 @lru_cache(100_000)
 def near(a: str, b: str) -> bool:
     """Whether two words are one but for a typing slip: one edit from 4 letters, two from 7, a swap of neighbours counts one."""
@@ -200,8 +204,20 @@ def title_words(title: str | None) -> list[str]:
     return [w for w in words if w not in _STOP and not w.isdigit()]
 
 
+@lru_cache(100_000)
+def _letters(word: str) -> int:
+    """The letters of a word as bits, so that words too unlike are told apart without a look at them."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def title_match(a: list[str], b: list[str]) -> tuple[float, int]:
-    """Share of the words of both titles that have a partner, in any order, and how many lack one in the title that lacks fewer."""
+    """Share of the words of both titles that have a partner, in any order, and how many lack one in the title that lacks fewer.
+
+    Up to three words without a partner may be others run together. The share is given as 0 where it can't reach the score.
+    """
     if not a or not b:
         return 0.0, max(len(a), len(b))
     rest, left = list(b), []
@@ -210,16 +226,20 @@ def title_match(a: list[str], b: list[str]) -> tuple[float, int]:
             rest.remove(w)
         else:
             left.append(w)
-    lonely = []
+    missing = len(rest) - len(left)
+    lonely, masks, short = [], [_letters(x) for x in rest], (1 - SAME_SCORE**0.5) * (len(a) + len(b))
     for w in left:
-        for k, x in enumerate(rest):
-            if near(w, x):
-                del rest[k]
+        mask = _letters(w)
+        for k, other in enumerate(masks):
+            if (mask ^ other).bit_count() <= 4 and near(w, rest[k]):
+                del rest[k], masks[k]
                 break
         else:
             lonely.append(w)
+            if len(lonely) > 3 and 2 * len(lonely) + missing > short:  # so many lack a partner that no score can be reached
+                return 0.0, len(lonely)
     # words run together or torn apart by a slip
-    if lonely and rest:
+    if lonely and rest and len(lonely) <= 3:
         one, other = "".join(sorted("".join(lonely))), "".join(sorted("".join(rest)))
         if one == other or near("".join(lonely), "".join(rest)):
             lonely, rest = [], []
@@ -318,7 +338,7 @@ def _initials_fit(a: str, b: str) -> bool:
     return not Counter(one) - Counter(other)
 
 
-@lru_cache(20_000)
+@lru_cache(60_000)
 def _listed(authors: str | None) -> tuple[tuple[str, ...], bool]:
     """The names of an author list, and whether it says that there are others."""
     names = [x.strip() for x in _AUTHOR_SPLIT.split(authors or "") if x.strip()]
@@ -326,10 +346,6 @@ def _listed(authors: str | None) -> tuple[tuple[str, ...], bool]:
     return kept, len(kept) < len(names)
 
 
-#: Score from which two records are one publication, and that for titles of fewer than three words.
-SAME_SCORE, SHORT_TITLE_SCORE = 0.4, 0.8
-
-
 def publication_score(title_a: str | None, authors_a: str | None, title_b: str | None, authors_b: str | None) -> float:
     """Similarity of two records, 0 to 1: the square of the share of title words with a partner, times the share of authors with one.
 
@@ -350,7 +366,7 @@ def same_publication(title_a: str | None, authors_a: str | None, title_b: str |
     return publication_score(title_a, authors_a, title_b, authors_b) >= (SHORT_TITLE_SCORE if short else SAME_SCORE)
 
 
-@lru_cache(20_000)
+@lru_cache(60_000)
 def _title_of(title: str | None) -> tuple[tuple[str, ...], tuple[str, str]]:
     return tuple(title_words(title)), instalment(title)
 
@@ -405,8 +421,8 @@ def candidate_pairs(reps: DataFrame, posts_of: Callable[[DataFrame], DataFrame],
     """Distinct pairs ``(a, b)``, a < b: all records that share ``least_matches`` coordinates or more (T), and few others.
 
     Lists of up to ``long_list`` members are merged and the collisions of each pair counted. Of T coordinates that a pair shares,
-    either none lies in a long list (counted in full), or one (T - 1 counted, and both records stand in long lists), or two or
-    more: then they meet under a pair of coordinates, under which the members of long lists are posted. What is long
+    either none lies in a long list (counted in full), or one (T - 1 counted, and the records are probed for a common long list), or two
+    or more: then they meet under a pair of coordinates, under which the members of long lists are posted. What is long
     even then is compared in full, in blocks.
     """
     single = posts_of(reps).select("rep", F.explode("posts").alias("key"))
@@ -415,12 +431,12 @@ def candidate_pairs(reps: DataFrame, posts_of: Callable[[DataFrame], DataFrame],
     if long1 is None:
         return counted.where(F.col("n") >= config.least_matches).select("a", "b")
     counted = materialize(counted.where(F.col("n") >= config.least_matches - 1), "counted")
-    hot = materialize(long1.select("rep").distinct(), "hot")
-    both = counted.where(F.col("n") < config.least_matches).join(hot.withColumnRenamed("rep", "a"), "a", "left_semi").join(hot.withColumnRenamed("rep", "b"), "b", "left_semi")
-    out = counted.where(F.col("n") >= config.least_matches).unionByName(both).select("a", "b")
-    own = long1.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)  # at most ``coordinates`` keys
+    own = materialize(long1.groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys")), "own")  # at most ``coordinates`` keys
+    one, two = own.select(F.col("rep").alias("a"), F.col("keys").alias("ka")), own.select(F.col("rep").alias("b"), F.col("keys").alias("kb"))
+    probed = counted.where(F.col("n") < config.least_matches).join(one, "a").join(two, "b").where(F.arrays_overlap("ka", "kb"))
+    out = counted.where(F.col("n") >= config.least_matches).select("a", "b").unionByName(probed.select("a", "b"))
     pair = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    met2, long2 = _colliding(own.select("rep", F.explode(pair).alias("key")).distinct(), config.long_list)
+    met2, long2 = _colliding(own.where(F.size("keys") > 1).select("rep", F.explode(pair).alias("key")).distinct(), config.long_list)
     out = out.unionByName(met2)
     if long2 is not None:
         out = out.unionByName(_all_pairs(long2, config.block_rows))
