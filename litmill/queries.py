@@ -339,11 +339,9 @@ def j_without_known(spark, folder):
 
 @query()
 def j_fuzzy_titles(spark, folder):
-    """For each record the most similar title among the curated records of its journal and year whose title starts with the same
-    three ASCII letters (digits count); more similar titles elsewhere aren't looked for."""
-    block = F.xxhash64(F.lower("journal"), keys.trimmed(F.col("year")), F.substring(keys.title_letters_key(F.col("title")), 1, 3))
-    side = lambda df, p: df.where("trim(title) <> ''").select(F.col("rec_id").alias(f"{p}_id"), keys.title_words_key(F.col("title")).alias(f"{p}_title"), block.alias("block"), (~filters.blank(F.col("abstract"))).alias("has_abstract"))
-    return merge.best_fuzzy_match(side(_literature(spark, folder), "left").drop("has_abstract"), side(table(spark, folder, "master"), "right"), "block").withColumn("ratio", F.round("ratio", 6))
+    """For each record the most similar title among all curated records that share one of its rare title words."""
+    side = lambda df, p: df.where("trim(title) <> ''").select(F.col("rec_id").alias(f"{p}_id"), keys.title_words_key(F.col("title")).alias(f"{p}_title"), (~filters.blank(F.col("abstract"))).alias("has_abstract"))
+    return merge.best_fuzzy_match(side(_literature(spark, folder), "left").drop("has_abstract"), side(table(spark, folder, "master"), "right")).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("select count(*) as positions, count(*) filter (m.title is distinct from l.title or m.doi is distinct from l.doi) as mismatches from (select rec_id, title, doi from master) m full join (select rec_id, title, doi from merged_literature where rec_id in (select rec_id from master)) l using (rec_id)")

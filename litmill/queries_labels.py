@@ -241,3 +241,20 @@ def l_leading_members(spark, folder):
     edges, found, _, _ = _communities(spark, folder)
     degree = graph.degrees(edges).withColumn("weighted_degree", F.round("weighted_degree", 6)).join(found, "node")
     return ranking.top_in_group(degree, ["community"], [F.desc("weighted_degree"), "node"], 5).select("community", "node", "degree", "weighted_degree", "rank")
+
+
+@query()
+def g_author_modularity(spark, folder):
+    """Modularity of the co-authors' communities, with and without weights."""
+    edges = graph.pruned(_author_edges(spark, folder), 3)
+    found = graph.communities(edges)
+    return graph.modularity(edges, found).withColumn("kind", F.lit("weighted")).unionByName(graph.modularity(edges, found, False).withColumn("kind", F.lit("plain")))
+
+
+@query()
+def g_author_centrality(spark, folder):
+    """Eigenvector centrality of the authors, and betweenness of those with ten co-authors or more (500 sources)."""
+    edges = _author_edges(spark, folder)
+    central = graph.eigenvector_centrality(edges)
+    between = graph.betweenness(graph.pruned(edges, 10), sources=500)
+    return central.join(between, "node", "left").select("node", F.round("centrality", 6).alias("centrality"), F.round("betweenness", 6).alias("betweenness"))

@@ -31,11 +31,14 @@ def local_session(name: str = "litmill", cores: str = "*", partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made, used from then on and removed at exit.
+    Only where that is unset on a local master (tests on one machine) a temporary folder is made, used from then on and
+    removed at exit; on a cluster, whose executors could not read it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _own
     if _own is None:
         _own = tempfile.mkdtemp(prefix="litmill-")
@@ -58,9 +61,26 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote since the last call, once the results made of them are written; their number.
+
+    Results not yet written can't be read afterwards.
+    """
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = len(_tables)
+    while _tables:
+        where = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        where.getFileSystem(configuration).delete(where, True)
+    return done
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for an application; without effect where they have it already."""
     context = spark.sparkContext

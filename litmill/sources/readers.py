@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from litmill.sources.writers import restore_table
+
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A Parquet table, only the named columns of it."""
+    restore_table(spark, path)
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
