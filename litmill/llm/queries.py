@@ -82,5 +82,13 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.text_statistics(table(spark, folder, "documents")).withColumn("reasons", F.array_join("reasons", ","))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics}
-SQL: dict[str, str] = {}
+def p9_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Characters, words and lines of every document, those that SQL can count as well."""
+    return quality.text_statistics(table(spark, folder, "documents")).select("doc_id", "n_chars", "n_words", "n_lines")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts}
+SQL: dict[str, str] = {
+    "p9_counts": r"""select doc_id, length(coalesce(text, '')) as n_chars, len(regexp_extract_all(coalesce(text, ''), '[^\s\p{Z}]+')) as n_words,
+  len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}]'))) as n_lines from documents"""
+}

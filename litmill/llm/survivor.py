@@ -2,8 +2,8 @@
 
 Texts are put to a consensus: the values of a group are aligned one after another, each column of the alignment is voted on
 by weighted tokens, and the existing value closest to the consensus survives. A value that breaks off has no vote beyond
-its end, so what only the whole value holds stays. Equal values are counted before anything moves, and groups of many
-different values are decided in rounds of bounded size.
+its end, so what only the whole value holds stays. Equal values are counted before anything moves. In groups of many
+different values all of them vote as well, each aligned to the longest one, and the votes are summed across tasks.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from litmill.session import materialize
 
 @dataclass(frozen=True)
 class SurvivorConfig:
-    """``round_values``: different values of a group that are aligned at once; more are decided in several rounds.
-    ``restart_words``: a value that starts over, for so many words or more and to its end, is cut there."""
+    """``gathered_values``: different values of a group that one task aligns one after another; the values of larger groups are each
+    aligned to the longest one, wherever they are. ``restart_words``: a value that starts over, for so many words or more and to its end, is cut there."""
 
-    round_values: int = 64
+    gathered_values: int = 64
     restart_words: int = 5
 
 
@@ -128,21 +128,60 @@ def consensus_values(values: DataFrame, config: SurvivorConfig = SurvivorConfig(
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["group_id", "value", "id", "weight"])
 
-    def decided(df: DataFrame, *keys: str) -> DataFrame:
-        bounded = df.groupBy("group_id", *keys).agg(F.collect_list(F.struct("id", "value", "weight")).alias("m"))
-        return bounded.select("group_id", "m").mapInArrow(run, "group_id bigint, value string, id bigint, weight double")
-
     current = materialize(counted, "values")
-    while True:
-        sizes = current.groupBy("group_id").agg(F.count("*").alias("n"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) <= config.round_values:
-            return decided(current).select("group_id", "id", "value")
-        large = sizes.where(F.col("n") > config.round_values)
-        part = F.pmod(F.xxhash64("value", "n"), F.ceil(F.col("n") * 2 / config.round_values))
-        split = current.join(large, "group_id").withColumn("part", part)
-        # parts are bounded in expectation only; what a part holds beyond the bound goes on to the next round as it is
-        rest = current.join(large, "group_id", "left_anti").select("group_id", "value", "id", "weight")
-        current = materialize(decided(split, "part").unionByName(rest), "values")
+    sizes = current.groupBy("group_id").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > config.gathered_values).select("group_id")
+    bounded = current.join(large, "group_id", "left_anti").groupBy("group_id").agg(F.collect_list(F.struct("id", "value", "weight")).alias("m"))
+    small = bounded.mapInArrow(run, "group_id bigint, value string, id bigint, weight double").select("group_id", "id", "value")
+    return small.unionByName(_of_large(current.join(large, "group_id", "left_semi"), config))
+
+
+def _of_large(values: DataFrame, config: SurvivorConfig) -> DataFrame:
+    """``(group_id, id, value)`` of groups of any number of values ``(group_id, value, id, weight)``: every value is aligned to the
+    longest one of its group and votes for or against its tokens, up to its own end; the value closest to the tokens agreed on survives."""
+    pick = lambda *names: ", ".join({"group_id": "group_id bigint", "value": "value string", "id": "id bigint", "weight": "weight double"}.get(n, n) for n in names)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [whole_part(v, config) for v in batch.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("group_id", "value", "id", "weight")), pa.array([len(t) for t, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.bool_())], names=["group_id", "value", "id", "weight", "size", "cut"])
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for group, value, weight, centre in zip(*(batch.column(n).to_pylist() for n in ("group_id", "value", "weight", "centre"))):
+                mine, at, used = whole_part(value, config)[0], 0, 0
+                for x, y, k in _blocks(whole_part(centre, config)[0], mine):
+                    both = min(x - at, y - used)  # tokens that stand in for each other
+                    rows += [(group, at + j, at + j + 1, weight, mine[used + j]) for j in range(both)]
+                    rows += [(group, at + both, x, weight, ""), (group, x, x + k, weight, None)]
+                    at, used = x + k, y + k
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["group_id", "first", "last", "weight", "token"])
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = []
+            for value, centre, kept in zip(*(batch.column(n).to_pylist() for n in ("value", "centre", "kept"))):
+                tokens = whole_part(centre, config)[0]
+                agreed, mine = [tokens[k["place"]] if k["token"] is None else k["token"] for k in kept or ()], whole_part(value, config)[0]
+                far.append(len(agreed) + len(mine) - 2 * sum(k for _, _, k in _blocks(agreed, mine)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("group_id", "value", "id", "weight", "cut")), pa.array(far, pa.int32())], names=["group_id", "value", "id", "weight", "cut", "far"])
+
+    sized = values.select("group_id", "value", "id", "weight").mapInArrow(measured, pick("group_id", "value", "id", "weight", "size int", "cut boolean"))
+    centre = sized.groupBy("group_id").agg(F.min_by("value", F.struct(-F.col("size"), "cut", "id")).alias("centre"))
+    joined = materialize(sized.join(centre, "group_id"), "centred")
+    cast = joined.select("group_id", "value", "weight", "centre").mapInArrow(votes, pick("group_id", "first int", "last int", "weight", "token string"))
+    places = cast.where(F.col("last") > F.col("first")).select("group_id", F.explode(F.sequence("first", F.col("last") - 1)).alias("place"), "weight", "token")
+    # null stands for the centre's own token, "" for a vote against any
+    tokens = places.groupBy("group_id", "place", "token").agg(F.sum("weight").alias("weight"))
+    named = F.when(~F.col("token").eqNullSafe(F.lit("")), F.struct("weight", F.col("token").isNull().alias("own"), "token"))
+    chosen = tokens.groupBy("group_id", "place").agg(F.max(named).alias("best"), F.sum(F.when(F.col("token") == "", F.col("weight")).otherwise(0.0)).alias("no"))
+    kept = chosen.where("best.weight >= no").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", "best.token"))).alias("kept"))  # at most the centre's tokens
+    far = joined.join(kept, "group_id", "left").mapInArrow(distances, pick("group_id", "value", "id", "weight", "cut boolean", "far int"))
+    best = far.groupBy("group_id").agg(F.min_by(F.struct("id", "value"), F.struct("far", "cut", -F.col("weight"), "id")).alias("b"))
+    return best.select("group_id", "b.id", "b.value")
 
 
 def survivors(records: DataFrame, groups: DataFrame, config: SurvivorConfig = SurvivorConfig()) -> DataFrame:

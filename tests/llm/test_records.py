@@ -114,8 +114,12 @@ def test_survivors(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)], "rec_id bigint, group_id bigint")
     assert sorted(tuple(r) for r in survivor.survivors(df, groups).collect()) == [(1, 2, 3, "10.1234/ab.1"), (5, -1, 6, "")]
     assert survivor.survivors(df.limit(0), groups).count() == 0
-    many = spark.createDataFrame([(1, i, f"{WHOLE} {'x' * (i % 3)} {i}") for i in range(90)] + [(1, 500, WHOLE)] * 3, "group_id bigint, id bigint, value string")
-    assert survivor.consensus_values(many, survivor.SurvivorConfig(round_values=16)).count() == 1
+    # groups of more values than one task takes: the same survivors
+    words = WHOLE.split()
+    near = [(g, 100 * g + i, " ".join(w if (k + i) % 11 else w + "x" for k, w in enumerate(words[: len(words) - i % 3]))) for g in (1, 2) for i in range(1, 30)]
+    many = spark.createDataFrame(near + [(g, 100 * g + 50, WHOLE) for g in (1, 2)] + [(3, 1, "One."), (3, 2, None)], "group_id bigint, id bigint, value string")
+    got = [sorted(tuple(r) for r in survivor.consensus_values(many, survivor.SurvivorConfig(gathered_values=n)).collect()) for n in (4, 64)]
+    assert got[0] == got[1] == [(1, 150, WHOLE), (2, 250, WHOLE), (3, 1, "One.")]
 
 
 COMMON = frozenset(["leonard", "bruna", "natalia", "anne", "marie", "omar", "rosa"])
