@@ -17,6 +17,13 @@ select rec_id, position, case when parted then trim(substr(t, strpos(t, ',') + 1
   case when parted then trim(split_part(t, ',', 1)) else split_part(t, ' ', -1) end as last_name from p"""
 SQL["f_rebuilt_abstracts"] = r"select rec_id, trim(regexp_replace(replace(abstract, chr(0), ' '), '\s+', ' ', 'g')) as abstract from merged_literature where trim(abstract) <> ''"
 
+_STOP = ", ".join(f"'{x}'" for x in labels.EMPTY_ENTITIES)
+SQL["f_entities"] = rf"""with m as (select rec_id, lower(abm_topic_label) as t, trim(abm_topic_label) as label, coalesce(agent_category_label, '') as g from master where abm_topic_label is not null),
+e as (select rec_id, list_filter(list_transform(regexp_split_to_array(replace(g, 'not_applicable', ' '), '[,/;]|\band\b|&'), lambda x: lower(trim(regexp_replace(trim(x, ' .;-'), '\s+', ' ', 'g')))), lambda x: length(x) > 2 and x not in ({_STOP})) as k from m)
+select m.rec_id, case when t like '%ecology%' then 'Ecology' when t like '%economics%' then 'Economics' when t like '%health%' then 'Health' when t like '%energy%' then 'Energy' when t like '%transport%' then 'Transport'
+  when t like '%habitat%' then 'Ecology' when t like '%market%' then 'Economics' when t like '%epidem%' then 'Health' when t like '%traffic%' then 'Transport' else 'Other' end as domain,
+  array_to_string(list_sort(list_distinct(k)), '|') as entities from m join e using (rec_id)"""
+
 
 def _case(column: str, text: str, default: str) -> str:
     rows = " ".join(f"when '{k}' then '{v}'" for k, v in taxonomy.entries(text).items())

@@ -72,3 +72,29 @@ def test_stages(spark):
     assert {r["rec_id"]: r["abstract_missing"] for r in kept.collect()} == {1: True, 4: False, 5: False}
     assert {r["rec_id"]: r["drop_reason"] for r in removed.collect()} == {2: "no abstract", 3: "title in another script"}
     assert sorted(r["n_merged"] for r in merge_sources(df).collect()) == [1, 1, 1, 2]
+
+
+def test_broken_replacement(spark, tmp_path):
+    """A job that died between the two renames leaves a table that the next reader or writer puts in place."""
+    from litmill.sources.writers import restore_table
+
+    path = str(tmp_path / "t")
+    sources.replace_table(spark.range(3), path)
+    sources.replace_table(spark.range(4), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    spark.range(5).write.parquet(path + ".new")
+    assert sources.read_table(spark, path).count() == 5 and not (tmp_path / "t.old").exists() and not restore_table(spark, path)
+    sources.replace_table(spark.range(6), path)
+    assert sources.read_table(spark, path).count() == 6 and spark.read.parquet(path + ".bak").count() == 3
+
+
+def test_release(spark):
+    from litmill.session import materialize, release, shared_folder
+
+    release(spark)
+    kept = materialize(spark.range(3), "kept")
+    files = kept.inputFiles()
+    assert kept.count() == 3 and release(spark) == 1 and release(spark) == 0
+    from pathlib import Path
+
+    assert files[0].startswith("file:") and not Path(files[0].replace("file://", "")).exists() and shared_folder(spark)
