@@ -90,6 +90,8 @@ _PATTERNS = {
 }
 _BROKEN = re.compile(r"[ÃÂâÐÑ€œžŸ¶§½¿¤¬¡¢£¥¦¨©ª®¯°±²³´µ¸¹º¼¾�]")
 _ODD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|[bcdfghjklmnpqrstvwxz]{3,}$|^[bcdfghjklmnpqrstvwxz]{4,}|(.)\1\1")
+#: Bytes of text measured at once, or one text.
+BATCH_BYTES = 16 << 20
 KINDS = ("text", "list", "table", "junk")
 TEXT, LIST, TABLE, JUNK = range(4)
 
@@ -348,9 +350,13 @@ def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats, reasons, kinds = measure(batch.column(1).to_pylist())
-            arrays = [*(pa.array(stats[n], t) for n, t in _FIELDS[:-2]), pa.array(reasons, pa.list_(pa.string())), pa.array(kinds, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["_id", *names])
+            size = np.cumsum(_numbers(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1).tolist(), batch.num_rows]  # long texts are worked by few at once
+            for first, last in zip(cuts, cuts[1:]):
+                part = batch.slice(first, last - first)
+                stats, reasons, kinds = measure(part.column(1).to_pylist())
+                arrays = [*(pa.array(stats[n], t) for n, t in _FIELDS[:-2]), pa.array(reasons, pa.list_(pa.string())), pa.array(kinds, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["_id", *names])
 
     return source.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 

@@ -28,7 +28,7 @@ def test_text_kinds():
 
 
 def test_statistics(spark):
-    df = spark.createDataFrame([(1, PROSE, "x"), (1, PROSE, "x"), (None, None, "y"), (2, "", "z"), (3, "word " * 60000, "long")], "doc_id bigint, text string, text_kind string")
+    df = spark.createDataFrame([(1, PROSE, "x"), (1, PROSE, "x"), (None, None, "y"), (2, "", "z"), (3, "word " * 60000, "long"), (4, "word " * 4_000_000, "longer")], "doc_id bigint, text string, text_kind string")
     rows = quality.text_statistics(df).collect()
     assert sorted((r["doc_id"] or 0, r["text_kind"]) for r in rows)[:4] == [(0, "empty"), (1, "prose"), (1, "prose"), (2, "empty")]
     assert quality.nonprose(df.limit(0)).count() == 0 and [r for r in rows if r["doc_id"] == 3][0]["n_words"] == 60000
