@@ -131,9 +131,10 @@ def consensus_values(values: DataFrame, config: SurvivorConfig = SurvivorConfig(
     current = materialize(counted, "values")
     sizes = current.groupBy("group_id").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > config.gathered_values).select("group_id")
-    bounded = current.join(large, "group_id", "left_anti").groupBy("group_id").agg(F.collect_list(F.struct("id", "value", "weight")).alias("m"))
+    none = large.isEmpty()
+    bounded = (current if none else current.join(large, "group_id", "left_anti")).groupBy("group_id").agg(F.collect_list(F.struct("id", "value", "weight")).alias("m"))
     small = bounded.mapInArrow(run, "group_id bigint, value string, id bigint, weight double").select("group_id", "id", "value")
-    return small.unionByName(_of_large(current.join(large, "group_id", "left_semi"), config))
+    return small if none else small.unionByName(_of_large(current.join(large, "group_id", "left_semi"), config))
 
 
 def _of_large(values: DataFrame, config: SurvivorConfig) -> DataFrame:
