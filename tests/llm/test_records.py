@@ -220,3 +220,40 @@ def test_written_names(spark):
 @pytest.mark.parametrize("name", ["á", "", "DR.", "x" * 3000])
 def test_names_of_any_kind(name):
     assert variants.parse_name(name) is not None and neardup.same_name(name, name) in (True, False, None)
+
+
+def test_every_pair_that_can_be_one_person_meets(spark):
+    """Of names with slips, short forms, initials and parted words, the pairs linked are those of a comparison of every pair."""
+    rng = random.Random(3)
+    given, family = "maria jose john robert bob katarina catarina michael micheal bill william mike marta".split(), "smith macdonald oxley volorik peditelund".split()
+    names = {"jose maria oxley", "maria jose o.", "maria mac donald", "maria macdonald", "bob. smith", "robert smith", "micheal o.", "michael oxley", "marta marta m.", "marta marta smith"}
+    while len(names) < 150:
+        words = [rng.choice(given), *([rng.choice(given)] if rng.random() < 0.5 else []), rng.choice(family)]
+        typed = [w if (k := rng.random()) < 0.6 else w[0] + "." if k < 0.8 else w[:3] + "." if k < 0.88 else w[:2] + w[3:] for w in words]
+        names.add(" ".join(typed) if rng.random() < 0.7 else f"{typed[-1]}, {' '.join(typed[:-1])}")
+    config = variants.VariantConfig(given_least=12)
+    df = spark.createDataFrame([(n, None, None, None) for n in sorted(names)], "entry string, orcid string, n bigint, places array<bigint>")
+    parsed = [(n, variants.parse_name(n)) for n in sorted(names)]
+    words = [w for _, p in parsed for w in {*p.words, *p.glued}]
+    frequent = frozenset(w for w in words if words.count(w) > 12)
+    shown = sum(bool(p.placed) for _, p in parsed)
+    assert frequent and shown
+    firsts = frozenset(w for w in frequent if sum(p.placed == w for _, p in parsed) < 0.5 * sum(bool(p.placed) and w in {*p.words, *p.glued} for _, p in parsed))
+    counted = spark.createDataFrame([(w, words.count(w)) for w in sorted(set(words))], "word string, n bigint")
+    met = {(r["a"], r["b"]) for r in variants._met(variants._posts(variants._parsed(df), variants._kin(counted, config), sorted(firsts))).collect()}
+    wanted = {(a, b) for a, b in itertools.combinations(sorted(names), 2) if variants.one_person(a, b, frequent, config, firsts)[0]}
+    assert wanted and not wanted - met
+
+
+def test_one_person_by_another_assignment():
+    """A pair is one person's if any assignment within the limit has a family word or two matched ones, not only the cheapest."""
+    rng, most = random.Random(7), variants.VariantConfig().most_cost
+    tokens = ["maria", "marta", "mar.", "m.", "smith", "smit", "s.", "jose", "j.", "oxley"]
+    frequent, found = frozenset(["maria", "marta", "jose"]), 0
+    for _ in range(3000):
+        a, b = (" ".join(rng.choices(tokens, k=rng.randint(2, 4))) for _ in range(2))
+        cost, family, matched = variants.align(variants.parse_name(a), variants.parse_name(b), frequent, None, True)
+        same = variants.one_person(a, b, frequent)[0]
+        assert same == (cost <= most and (family > 0 or matched > 1)), (a, b)
+        found += same
+    assert found
