@@ -4,10 +4,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from litmill.llm import neardup, survivor, variants
+from litmill.llm import meeting, neardup, survivor, variants
 
 TITLE = "Exploring hoarding policies for local platforms with multi-agent simulation"
 AUTHORS = "Malincez, I. M.; Helensdeskog, A.; Lorarellan, R."
@@ -257,3 +258,70 @@ def test_one_person_by_another_assignment():
         assert same == (cost <= most and (family > 0 or matched > 1)), (a, b)
         found += same
     assert found
+
+
+def _met_names(spark, rows, config=variants.VariantConfig(given_least=5)):
+    """What meets of ``(entry, orcid, n, places)``, and the frequent and given words, as in ``name_variants``."""
+    entries = variants._parsed(spark.createDataFrame(rows, "entry string, orcid string, n bigint, places array<bigint>"))
+    parsed = [variants.parse_name(r[0]) for r in rows]
+    words = [w for p in parsed for w in {*p.words, *p.glued}]
+    frequent = frozenset(w for w in words if words.count(w) > config.given_least)
+    firsts = frozenset(w for w in frequent if sum(p.placed == w for p in parsed) < 0.5 * sum(bool(p.placed) and w in {*p.words, *p.glued} for p in parsed))
+    counted = spark.createDataFrame([(w, words.count(w)) for w in sorted(set(words))], "word string, n bigint")
+    return variants._met(variants._posts(entries, variants._kin(counted, config), sorted(firsts))).collect(), frequent, firsts
+
+
+def test_a_common_given_name_alone_is_no_meeting(spark):
+    """Names with a given name in common and different others are not compared; one word parted in another place is met, however long the names."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("bcdfghklmnprstvaeiou", k=9))
+    pairs = [("maria mac donald", "maria macdonald"), ("maria van der berg-holm", "maria vanderbergholm"), ("maria o. lindqvistholm", "maria o. lindqvits holm"), ("ana bea cia dora eva fay mac donald", "ana bea cia dora eva fay macdonald")]
+    names = sorted({f"maria {word()} {word()}" for _ in range(60)} | {f"maria {word()}" for _ in range(60)} | {n for p in pairs for n in p})
+    met, frequent, firsts = _met_names(spark, [(n, None, None, None) for n in names])
+    found = {(r["a"], r["b"]) for r in met}
+    assert "maria" in firsts and {tuple(sorted(p)) for p in pairs} <= found and len(found) < 20
+    assert all(variants.one_person(a, b, frequent, variants.VariantConfig(), firsts)[0] for a, b in pairs)
+
+
+def test_what_is_known_keeps_names_apart(spark):
+    """Identifiers and places, few, many, none or unknown, keep the same names apart as in a look at every pair."""
+    rng = random.Random(4)
+    rows = []
+    for name in [f"maria {c}. smith" for c in "abcdefghijklmnop"] + [f"smith, maria {c}." for c in "abcdefghijklmnop"]:
+        bits = rng.choice([None, [], [rng.randrange(12) * 40], rng.sample(range(0, 480, 40), 2), [63, rng.randrange(512)], rng.sample(range(512), 30)])
+        places = None if bits is None else [(lambda x: x - (1 << 64) if x >> 63 else x)(sum(1 << b % 64 for b in set(bits) if b // 64 == k)) for k in range(8)]
+        rows.append((name, rng.choice([None, None, "o1", "o2"]), rng.randrange(9), places))
+    met, _, _ = _met_names(spark, rows)
+    wanted = set()
+    for (a, i, na, p), (b, j, nb, q) in itertools.combinations(sorted(rows), 2):
+        same, at_one = bool(i and j and i == j), p is not None and q is not None and any(x & y for x, y in zip(p, q))
+        if not (i and j and i != j) and (same or at_one or p is None or q is None):
+            wanted.add((a, b, na, nb, same, at_one))
+    assert {tuple(r) for r in met} == wanted and len(met) == len(wanted) and 50 < len(wanted) < 32 * 31 / 2
+
+
+def test_nothing_that_one_person_accepts_is_ruled_out():
+    rng = random.Random(13)
+    tokens = "maria marta jose joseph bob robert rob mac donald macdonald oxley volorik volroik jo john mcdon ald smith smit micheal michael mike m. s. j. ma. mich. jos. mei-ling de el-hadi hadi".split()
+    found = 0
+    for _ in range(6000):
+        a, b = (" ".join(rng.choices(tokens, k=rng.randint(1, 4))) for _ in range(2))
+        same = variants.one_person(a, b, frozenset(["maria", "marta", "jose", "john"]))[0]
+        assert not same or variants.may_be_one(variants.parse_name(a), variants.parse_name(b)), (a, b)
+        found += same
+    assert found
+
+
+def test_meetings():
+    """Of the rows of a group one that leads and one that follows meet, once; whole keys stay together over batches."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 14))
+        group, lead, follow = rng.integers(0, 3, n), rng.random(n) < 0.6, rng.random(n) < 0.6
+        got = [frozenset(p) for i, j in meeting.meetings(group, lead, follow, int(rng.choice([1, 5, 1000]))) for p in zip(i.tolist(), j.tolist())]
+        wanted = {frozenset((i, j)) for i in range(n) for j in range(n) if i != j and group[i] == group[j] and lead[i] and follow[j]}
+        assert len(got) == len(wanted) and set(got) == wanted
+        keys = np.sort(rng.integers(0, 6, 40))
+        batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["key"]) for x in np.split(keys, np.sort(rng.integers(0, 40, 6)))]
+        tables = [t.column("key").to_pylist() for t in meeting.by_key(iter(batches), int(rng.integers(1, 20)))]
+        assert sum(tables, []) == keys.tolist() and all(set(x).isdisjoint(y) for x, y in itertools.combinations(tables, 2))
